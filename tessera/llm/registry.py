@@ -3,17 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, packing, sstable
+from . import audio, common, counts, decontaminate, jaccard, licences, packing, pii, quality, sstable, warc
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, common.table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = quality.classify(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
+    digits = lambda c: F.round(c, 6)  # noqa: E731  sums over shuffles differ in their last digits
+    return found.select("doc_id", "source", "lang", digits("_evidence").alias("evidence"), digits("_host_posterior").alias("host_posterior"), digits("_path_posterior").alias("path_posterior"), digits("_posterior").alias("posterior"), F.col("_keep").alias("keep"))
+
+
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(common.table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(spark, warc.write(common.table(spark, sf_dir, "pages"), common.scratch(spark, "warc")))
+
+
 def op5_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(spark, sstable.write(common.table(spark, sf_dir, "documents"), common.scratch(spark, "sstable")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_token_sstable)}
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count(common.table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(common.table(spark, sf_dir, "documents"))
+
+
+def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.search(audio.rendered(common.table(spark, sf_dir, "embeddings")))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_licence_scan, op4_warc, op5_token_sstable, op6_token_counts, op7_jaccard_join, op8_pii, op9_audio_fingerprints, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
