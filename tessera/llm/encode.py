@@ -8,13 +8,15 @@ a word again. Texts with characters on which Python and the tokenizer disagree a
 from __future__ import annotations
 
 import re
+import string
+import sys
 import zlib
+from array import array
 
 import numpy as np
 
 MEMO_LIMIT = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
-_held: dict[str, "Encoder"] = {}
 
 
 def default_path() -> str:
@@ -23,73 +25,65 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """``ids(text)`` gives little-endian unsigned 16-bit ids, or 32-bit ids where the vocabulary needs them."""
+def _byte_letters() -> dict[int, str]:
+    """The byte-level letters: printable bytes stand for themselves, the others for letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """White-space word to its packed ids, little-endian unsigned 16-bit or, where the vocabulary needs them, 32-bit. At
+    ``MEMO_LIMIT`` words the memo becomes the older generation and begins anew; a word of the older one is taken over when
+    it is asked for, so that frequent words stay."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[str, bytes] = {}
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.older: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        # A word of letters is one pre-token, so the model alone gives its ids; held to the whole tokenizer in tests.
+        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _each(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.memo[w] = self._packed(e.ids)
-
-    def _letters(self, words: list[str]) -> None:
-        """Words of letters only: each is one pre-token, whose last id alone ends a word. So many go in one call."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                self._each(part)
-                continue
-            raw, width, start = ids.tobytes(), self.kind.itemsize, 0
-            for w, cut in zip(part, (cuts * width).tolist(), strict=True):
-                self.memo[w] = raw[start:cut]
-                start = cut
-
-    def _learn(self, words: set[str]) -> None:
-        new = words - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_LIMIT:
-            self.memo.clear()
-            new = words
-        words = new
-        letters, rest, built = set(), [], []
-        for w in words:
-            if w.isalpha():
-                letters.add(w)
-            elif (core := w.rstrip(".,")).isalpha() and len(w) == len(core) + 1:
-                letters.add(core)
-                built.append((w, core, w[-1]))
-            else:
-                rest.append(w)
-        self._letters([w for w in letters if w not in self.memo])
-        self._each([w for w in {*rest, *(tail for _, _, tail in built)} if w not in self.memo])
-        for w, core, tail in built:
-            self.memo[w] = self.memo[core] + self.memo[tail]
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _new(self, word: str) -> bytes:
+        if word.isalpha():
+            low = word.lower() if word.isascii() else self.normal(word)
+            if low != word and low.isalpha():
+                return self[low]
+            if low.isascii():
+                return self._packed([t.id for t in self.model.tokenize(low)])
+            if low.isalpha():
+                return self._packed([t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))])
+        core = word.rstrip(string.punctuation)
+        if core != word and core.isalpha() and (core.isascii() or self.normal(core).isalpha()):  # letters, then one run of signs: two pre-tokens
+            return self[core] + self[word[len(core) :]]
+        return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO_LIMIT:
+            self.older = self.copy()
+            self.clear()
+        value = self.older.get(word)
+        if value is None:
+            value = self._new(word)
+        self[word] = value
+        return value
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if _ODD.search(text):
-                out.append(self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            words, memo = text.split(), self.memo
-            try:
-                out.append(b"".join([memo[w] for w in words]))
-            except KeyError:
-                self._learn(set(words))
-                out.append(b"".join([memo[w] for w in words]))
-        return out
+        return [self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if _ODD.search(t) else b"".join(map(self.__getitem__, t.split())) for t in texts]
+
+
+_held: dict[str, Encoder] = {}
 
 
 def encoder(path: str | None = None) -> Encoder:
