@@ -206,5 +206,5 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_coverage
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that hold no item, all columns."""
-    hit = common.written(find(docs, benchmark, **how).select("doc_id").distinct(), "leaks").withColumnRenamed("doc_id", "_hit")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    hit = common.written(find(docs, benchmark, **how).select(F.col("doc_id").alias("__tessera__")).distinct(), "leaks")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__tessera__"]), "left_anti")

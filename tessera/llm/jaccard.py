@@ -41,6 +41,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
 STEP, TOLERANCE = 30, 1e-6
 BLOCK = 512
+#: A name that no column of a table has.
+OWN = "__tessera__"
 
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -347,7 +349,7 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     identifier, the first by their values). Of rows without identifier, all stay if a class has no other."""
     from pyspark.sql import Window
 
-    marks = common.written(join(docs, **how), "marks").where(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_keep")
-    kept = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    marks = common.written(join(docs, **how), "marks").where(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select(F.col("doc_id").alias(OWN)).distinct()
+    kept = docs.join(marks, docs["doc_id"].eqNullSafe(marks[OWN]), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in kept.columns])))
-    return kept.withColumn("_first", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(first)).where("_first = 1").drop("_first")
+    return kept.withColumn(OWN, F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(first)).where(F.col(OWN) == 1).drop(OWN)

@@ -182,22 +182,29 @@ def posteriors(scored: DataFrame, base: float) -> DataFrame:
     return within.crossJoin(F.broadcast(one)).withColumn("host_posterior", host_mean).withColumn("path_posterior", path_mean).select("_h", "_p", F.col("g").alias("global_mean"), "host_posterior", "path_posterior")
 
 
-def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text") -> DataFrame:
-    """All columns of docs and _evidence, _host_posterior, _path_posterior, _posterior, _keep."""
-    scored = with_evidence(docs, model, text_col, "_evidence")
-    prob = 1 / (1 + F.exp(-(F.col("_evidence") + model.base)))
+RESULTS = ("evidence", "host_posterior", "path_posterior", "posterior", "keep")
+
+
+def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text", prefix: str = "_") -> DataFrame:
+    """All columns of docs, and RESULTS with a prefix; columns of docs with those names are replaced."""
+    named = {r: prefix + r for r in RESULTS}
+    docs = docs.drop(*named.values())
+    evidence = named["evidence"]
+    scored = with_evidence(docs, model, text_col, evidence)
+    prob = 1 / (1 + F.exp(-(F.col(evidence) + model.base)))
     sites = posteriors(scored.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), prob.alias("p")), model.base)
-    sites = common.written(sites, "sites")
-    met = scored.join(sites, F.col(host).cast("string").eqNullSafe(F.col("_h")) & F.col(path).cast("string").eqNullSafe(F.col("_p")))
-    away = _logit(F.col("path_posterior")) - _logit(F.col("global_mean"))
+    sites = common.written(sites.select(*[F.col(c).alias(f"__tessera_{c}__") for c in sites.columns]), "sites")
+    site = lambda c: sites[f"__tessera_{c}__"]
+    met = scored.join(sites, scored[host].cast("string").eqNullSafe(site("_h")) & scored[path].cast("string").eqNullSafe(site("_p")))
+    away = _logit(site("path_posterior")) - _logit(site("global_mean"))
     prior = F.lit(model.base) + F.least(F.greatest(away, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
-    post = 1 / (1 + F.exp(-(F.col("_evidence") + prior)))
+    post = 1 / (1 + F.exp(-(F.col(evidence) + prior)))
     if not model.words and not model.bins.any():
         post = F.lit(1.0)
-    return met.select(*[met[c] for c in scored.columns], F.col("host_posterior").alias("_host_posterior"), F.col("path_posterior").alias("_path_posterior"), post.alias("_posterior"), (post >= KEEP).alias("_keep"))
+    return met.select(*[scored[c] for c in scored.columns], site("host_posterior").alias(named["host_posterior"]), site("path_posterior").alias(named["path_posterior"]), post.alias(named["posterior"]), (post >= KEEP).alias(named["keep"]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    out = classify(docs, fit(docs, labels), **how).where("_keep")
+    out = classify(docs, fit(docs, labels), prefix="__tessera__", **how).where(F.col("__tessera__keep"))
     return out.select(*docs.columns)
