@@ -126,7 +126,7 @@ def test_compare_end_to_end(spark, tmp_path):
     b.write_bytes(docx.build(["Chương khác hẳn về thời tiết.", shared]))
     cfg = config.Config(ignore_sections=("Mục lục",))
     got = compare.compare(spark, str(a), str(b), str(tmp_path / "out"), cfg)
-    assert got["summary"]["pairs"] == len(got["pairs"]) >= 1 and not got["meta"]["models"]["neural"]
+    assert got["summary"]["pairs"] == len(got["pairs"]) >= 1 and not got["meta"]["cfg"]["models"]["neural"]
     p = got["pairs"][0]
     s, e = p["a"]["spans"][0]
     assert "rèn luyện kỹ năng" in p["a"]["text"][s:e] and "mục lục" not in p["a"]["text"]
