@@ -118,6 +118,7 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("fp", pa.binary()), ("fp_class", pa.binary())])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin()
         for batch in batches:
             for part in common.slices(batch, "audio"):
                 fps = [fingerprint(x).astype("<u4").tobytes() for x in part.column("audio").to_pylist()]

@@ -89,6 +89,16 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+#: Every memo that a worker may hold: emptied, all but its own, by an operator's task that begins in that worker.
+MEMOS: list = [HASHES]
+
+
+def begin(*own) -> None:
+    """To be called where a task begins: workers are used again, and what another operator left in one would add up."""
+    for memo in MEMOS:
+        if not any(memo is x for x in own):
+            memo.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

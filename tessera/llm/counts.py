@@ -56,6 +56,10 @@ class Trie:
         self.memo: dict[str, int] = {}
         self._empty()
 
+    def clear(self) -> None:
+        self.memo.clear()
+        self._empty()
+
     def _empty(self) -> None:
         self.next: dict[tuple[int, str], int] = {}
         self.parent, self.char, self.score, self.count = [0], [""], [0.0], [0]
@@ -103,6 +107,8 @@ def trie(path: str | None = None) -> Trie:
     """The trie of this process."""
     if path not in _held:
         _held[path] = Trie(model_pieces(path))
+        common.MEMOS.append(_held[path])
+    common.begin(_held[path])
     return _held[path]
 
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +54,13 @@ class _Canon(dict):
         elif (low := word.lower()) in UNITS:
             h = int(UNIT)
         else:
-            h = common.HASHES[low]
+            h = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
         self[word] = h
         return h
 
 
 _CANON = _Canon()
+common.MEMOS.append(_CANON)
 
 
 def canonical(text: str) -> tuple[list[str], np.ndarray]:
@@ -193,6 +195,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_coverage
         shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_WINDOWS
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            common.begin(_CANON)
             for batch in batches:
                 for part in common.slices(batch, "text"):
                     rows = search(part.column("doc_id").to_pylist(), common.texts_of(part.column("text")), shared.value, min_coverage)

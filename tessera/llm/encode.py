@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from . import common
+
 MEMO_LIMIT = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -69,10 +71,14 @@ class Encoder(dict):
             return self[core] + self[word[len(core) :]]
         return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO_LIMIT:
-            self.older = self.copy()
-            self.clear()
+            self.older = dict(self)
+            super().clear()
         value = self.older.get(word)
         if value is None:
             value = self._new(word)
@@ -91,6 +97,8 @@ def encoder(path: str | None = None) -> Encoder:
     path = path or default_path()
     if path not in _held:
         _held[path] = Encoder(path)
+        common.MEMOS.append(_held[path])
+    common.begin(_held[path])
     return _held[path]
 
 

@@ -157,6 +157,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin(common.HASHES)
         for batch in batches:
             for part in common.slices(batch, "text"):
                 nodes: list[bytes | None] = []
@@ -256,6 +257,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block:
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin()
         us: list[bytes] = []
         vs: list[bytes] = []
         for g in _groups(batches, ["_set"], "sig"):
@@ -284,6 +286,7 @@ def exact_links(members: DataFrame, threshold: float, tolerance: float, block: i
     shape = pa.schema([("root", pa.binary()), ("size", pa.int64()), ("node", pa.binary()), ("copies", pa.int64()), ("sh", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin(common.HASHES)
         for batch in batches:
             for part in common.slices(batch, "text"):
                 sh = [shingles(t).tobytes() for t in common.texts_of(part.column("text"))]
@@ -293,6 +296,7 @@ def exact_links(members: DataFrame, threshold: float, tolerance: float, block: i
     schema = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("to", pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin()
         rows: list[tuple] = []
         for g in _groups(batches, ["root", "_p", "_q"], "sh"):
             own = [np.frombuffer(x, np.uint64) for x in g["sh"]]

@@ -99,6 +99,7 @@ def revealing(docs: DataFrame, text_col: str = "text", window: int = WINDOW, sup
     marks = pa.schema([("kind", pa.int32()), ("term", pa.string()), ("place", pa.int64())])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin()
         for batch in batches:
             for part in common.slices(batch, "text"):
                 rows = []

@@ -90,6 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = W
     chosen = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin(common.HASHES)
         schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.list_(pa.int64())), ("bins", pa.list_(pa.int32()))])
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -152,8 +153,10 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str, name: str) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``WORDS`` words and the bins
 
     @F.pandas_udf("double")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.evidence(t or "") for t in texts], dtype="float64")
+    def evidence(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.begin()
+        for texts in parts:
+            yield pd.Series([shared.value.evidence(t or "") for t in texts], dtype="float64")
 
     return docs.withColumn(name, evidence(F.col(text_col).cast("string")))
 
