@@ -152,18 +152,26 @@ def planned(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     narrow = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     keyed = narrow.withColumn("_d", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     # Partial sums first: a payload that a third of all pages have is one row of this.
-    firsts = keyed.where("_d is not null and page_id is not null").groupBy("_d").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_d").alias("_k"), "_first")
+    low = keyed.where("_d is not null and page_id is not null").groupBy("_d").agg(F.min("page_id").alias("_m"), F.count("*").alias("_n"))
+    firsts = low.where("_n > 1").select(F.col("_d").alias("_k"), F.col("_m").alias("_first"))
+    firsts = common.written(firsts, "firsts")
     met = keyed.join(firsts, F.col("_d") == F.col("_k"), "left")
-    return met.select("page_id", "url", "payload", F.when(F.col("page_id") > F.col("_first"), F.col("_first")).alias("refers_to"), (F.col("page_id") == F.col("_first")).alias("_is_first"))
+    refers = F.when(F.col("page_id") > F.col("_first"), F.col("_first"))
+    # Rows that repeat the response's page_id and payload are few or none; only if there are some, they are numbered.
+    own = keyed.select("page_id", "_d").join(firsts, (F.col("_d") == F.col("_k")) & (F.col("page_id") == F.col("_first")))
+    again = common.written(own.groupBy("_d").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_d").alias("_a")), "again")
+    cols = ["page_id", "url", "payload", "refers_to", "copy"]
+    if not again.limit(1).count():
+        return met.select("page_id", "url", "payload", refers.alias("refers_to"), F.lit(0).alias("copy"))
+    marked = met.join(again, F.col("_d") == F.col("_a"), "left").withColumn("_is", F.coalesce(F.col("_a").isNotNull() & (F.col("page_id") == F.col("_first")), F.lit(False)))
+    numbered = marked.where("_is").withColumn("copy", F.row_number().over(Window.partitionBy("_d").orderBy("url")) - 1)
+    rest = marked.where(~F.col("_is")).select("page_id", "url", "payload", refers.alias("refers_to"), F.lit(0).alias("copy"))
+    return rest.unionByName(numbered.select("page_id", "url", "payload", F.when(F.col("copy") > 0, F.col("page_id")).alias("refers_to"), "copy")).select(*cols)
 
 
 def write(pages: DataFrame, folder: str, **how) -> list[dict]:
     """Writes the archives; returns path and number of records of each."""
     plan = planned(pages, **how)
-    # Rows that repeat the response's page_id and payload: one of them is the response.
-    again = plan.where("_is_first").withColumn("copy", F.row_number().over(Window.partitionBy("page_id", F.sha1("payload")).orderBy("url")) - 1)
-    plan = plan.where(F.coalesce(~F.col("_is_first"), F.lit(True))).withColumn("copy", F.lit(0)).unionByName(again)
-    plan = plan.select("page_id", "url", "payload", F.when(F.col("copy") > 0, F.col("page_id")).otherwise(F.col("refers_to")).alias("refers_to"), "copy")
     at, root = filesystem(folder)
     at.create_dir(root, recursive=True)
 
