@@ -141,10 +141,39 @@ def revealing(docs: DataFrame, text_col: str = "text", window: int = WINDOW, sup
     return terms.join(counts, "term").where(pmi / -F.log(n_k / F.lit(float(total) + 1)) >= disclosure).select("kind", "term")
 
 
-def _listed(terms: DataFrame) -> frozenset:
-    """The revealing terms. Each stands in SUPPORT windows at least and makes out most of its own occurrences; they are
-    words of the kind that forms and headers put beside an entity."""
-    return frozenset((r["kind"], r["term"]) for r in terms.collect())
+OWN = "__tessera_terms__"
+
+
+def _with_terms(docs: DataFrame, terms: DataFrame, text_col: str):
+    """What tells a task the revealing terms: one broadcast set if they are TERMS_AT_ONCE at most, or else a column with
+    the terms of each document that has entities, joined to it by the hash of its text."""
+    terms = common.written(terms, "revealing")
+    spark = docs.sparkSession
+    if terms.count() <= TERMS_AT_ONCE:
+        return docs.withColumn(OWN, F.lit(None).cast("array<string>")), spark.sparkContext.broadcast(frozenset((r["kind"], r["term"]) for r in terms.collect()))
+    schema = pa.schema([("h", pa.int64()), ("kind", pa.int32()), ("term", pa.string())])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                rows = []
+                for h, text in zip(part.column("h").to_pylist(), common.texts_of(part.column("text")), strict=True):
+                    found = entities(text)
+                    rows += {(h, kind, w) for kind, words in around(text, found) for w, _, _ in words}
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    keyed = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    own = keyed.mapInArrow(near, "h long, kind int, term string").distinct().join(terms, ["kind", "term"])
+    own = own.groupBy(F.col("h").alias("__tessera_h__")).agg(F.collect_set(F.concat_ws(":", "kind", "term")).alias(OWN))
+    met = docs.join(own, F.xxhash64(F.col(text_col).cast("string")) == own["__tessera_h__"], "left")
+    return met.drop("__tessera_h__"), spark.sparkContext.broadcast(None)
+
+
+def _terms_of(shared, own) -> frozenset:
+    if shared.value is not None:
+        return shared.value
+    return frozenset((int(k), t) for k, _, t in (x.partition(":") for x in (own if own is not None else ())))
 
 
 def spans(text: str, terms: frozenset, window: int = WINDOW) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -162,20 +191,20 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(_listed(revealing(docs, text_col) if terms is None else terms))
+    docs, shared = _with_terms(docs, revealing(docs, text_col) if terms is None else terms, text_col)
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
                 rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), common.texts_of(part.column("text")), strict=True):
-                    base, every = spans(text, shared.value)
+                for doc, text, own in zip(part.column("doc_id").to_pylist(), common.texts_of(part.column("text")), part.column("own").to_pylist(), strict=True):
+                    base, every = spans(text, _terms_of(shared, own))
                     n = np.bincount([k for _, _, k in base], minlength=4).tolist() if base else [0] * 4
                     rows.append((doc, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(OWN).alias("own"))
     return narrow.mapInArrow(tell, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -192,10 +221,11 @@ def mask(text: str, terms: frozenset) -> str:
 
 def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with their texts sanitised; a null text stays null."""
-    shared = docs.sparkSession.sparkContext.broadcast(_listed(revealing(docs, text_col)))
+    names = docs.columns
+    docs, shared = _with_terms(docs, revealing(docs, text_col), text_col)
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else mask(t, shared.value) for t in texts], dtype=object)
+    def clean(texts: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else mask(t, _terms_of(shared, o)) for t, o in zip(texts, own, strict=True)], dtype=object)
 
-    return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
+    return docs.withColumn(text_col, clean(F.col(text_col).cast("string"), F.col(OWN))).select(*names)

@@ -344,7 +344,9 @@ def test_entities_against_the_plain_patterns():
     assert pii.entities("1" * 200_000 + "a" * 200_000 + "@" * 1000) == []
 
 
-def test_pii_report_and_terms(spark):
+@pytest.mark.parametrize("at_once", [pii.TERMS_AT_ONCE, 0])
+def test_pii_report_and_terms(spark, monkeypatch, at_once):
+    monkeypatch.setattr(pii, "TERMS_AT_ONCE", at_once)
     r = random.Random(5)
     words = [f"w{k}" for k in "abcdefghij"]
     fill = lambda n: " ".join(r.choice("alpha beta gamma delta".split()) for _ in range(n))
