@@ -16,6 +16,8 @@ and all documents are kept. Very long texts count whole. Other columns aren't re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ WORDS = 512
 KEEP = 0.5
 SITE_LIMIT = 1.0
 _BINS = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8])
-SHAPES = ("symbols", "capitals", "bars", "repeats", "digits", "bangs", "short")
+SHAPES = ("symbols", "capitals", "bars", "repeats", "digits", "bangs", "short", "echo")
 
 
 def _shape(text: str, words: list[str]) -> list[int]:
@@ -48,6 +50,7 @@ def _shape(text: str, words: list[str]) -> list[int]:
         sum(map(text.count, "0123456789")) / n,
         text.count("!") / n,
         1 / max(1, count),
+        sum(map(eq, words, islice(words, 1, None))) / max(1, count),
     )
     return np.searchsorted(_BINS, raw, side="right").tolist()
 
@@ -61,9 +64,9 @@ class Model:
 
     def evidence(self, text: str) -> float:
         """The log odds less those of the fitted rows."""
-        found = set(common.WORD.findall(text.lower()))
-        x = self.bias + sum(sorted(map(self.words.__getitem__, found & self.keys)))
-        for k, b in enumerate(_shape(text, found)):
+        words = common.WORD.findall(text.lower())
+        x = self.bias + sum(sorted(map(self.words.__getitem__, self.keys.intersection(words))))
+        for k, b in enumerate(_shape(text, words)):
             x += self.bins[k, b]
         return float(x - self.base)
 
@@ -96,8 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = W
             for part in common.slices(batch, "text"):
                 own = []
                 for text in common.texts_of(part.column("text")):
-                    found = set(common.WORD.findall(text.lower()))
-                    own.append((np.sort(common.word_hashes(list(found)).view(np.int64)).tolist(), _shape(text, found)))
+                    found = common.WORD.findall(text.lower())
+                    own.append((np.sort(common.word_hashes(list(set(found))).view(np.int64)).tolist(), _shape(text, found)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([o[0] for o in own], pa.list_(pa.int64())), pa.array([o[1] for o in own], pa.list_(pa.int32()))], schema=schema)
 
     rowset = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y int, words array<long>, bins array<int>")
