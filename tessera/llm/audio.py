@@ -138,6 +138,7 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 def search(media: DataFrame, id_col: str = "vec_id", audio_col: str = "audio", every: int = 50, max_error: float = MAX_ERROR, min_votes: int = MIN_VOTES) -> DataFrame:
     """A row per recording: id, class_id (the smallest id with an equal fingerprint), n_integers, and, for queries (ids that
     are divisible by ``every``), matches: the classes found, with their offset, bit errors and bits, the own class included."""
+    common.small_batches(media.sparkSession)
     known = common.written(fingerprints(media, id_col, audio_col), "fingerprints")
     classes = known.where("fp_class is not null").groupBy("fp_class").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max((F.col("id") % every == 0).cast("int")).alias("asked"))
     classes = common.written(classes, "classes")
@@ -192,6 +193,7 @@ RATE = 4000
 def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """A media column for tables of vectors: each number is a note of ``HOP_S`` seconds, its pitch one of 24 semitones by the
     number's rank among the vector's, its loudness by its size. A null or empty vector has null audio."""
+    common.small_batches(vectors.sparkSession)
 
     def tones(x: np.ndarray) -> bytes:
         n = round(HOP_S * RATE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -16,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words of the similarity operators: runs of Unicode letters, digits and underscores.
 WORD = re.compile(r"\w+")
 #: Entries that a worker's memo of words may hold before it is emptied.
-MEMO_LIMIT = 500_000
+MEMO_LIMIT = 300_000
+#: Rows of an Arrow batch at most, so that a batch of texts is a few MB in the JVM and in a worker.
+ARROW_ROWS = 1000
 
 _made: list[str] = []
 
@@ -25,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ARROW_ROWS rows, if they aren't smaller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset, as in
     local tests, a temporary folder of this machine is set."""
@@ -99,6 +110,8 @@ def begin(*own) -> None:
         if not any(memo is x for x in own):
             memo.clear()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

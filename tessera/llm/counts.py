@@ -114,6 +114,7 @@ def trie(path: str | None = None) -> Trie:
 
 def count(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pretokens, n_distinct, n_tokens."""
+    common.small_batches(docs.sparkSession)
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_pretokens", "n_distinct", "n_tokens")])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -189,6 +189,7 @@ def item_blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) ->
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row per document and item that it holds."""
+    common.small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = None
     for index in item_blocks(benchmark, width, item_id_col, item_text_col):

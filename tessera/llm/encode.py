@@ -17,7 +17,7 @@ import numpy as np
 
 from . import common
 
-MEMO_LIMIT = 600_000
+MEMO_LIMIT = 450_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 

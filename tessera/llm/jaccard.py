@@ -328,6 +328,7 @@ def exact_links(members: DataFrame, threshold: float, tolerance: float, block: i
 def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest identifier of its class), n_links (documents with a
     similarity of threshold or more, copies included)."""
+    common.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = common.written(sketches(docs), "sketches")
     by_node = known.where(F.col("node").isNotNull()).groupBy("node")

@@ -29,6 +29,7 @@ END_ID = 1
 
 def pieces(docs: DataFrame, max_len: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of at most ``max_len`` ids, the document's end id included."""
+    common.small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encode.encoder(tokenizer)

@@ -95,6 +95,7 @@ def around(text: str, found: list[tuple[int, int, int]], window: int = WINDOW) -
 
 def revealing(docs: DataFrame, text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(kind, term) of the terms that exceed the threshold, from counts over all documents."""
+    common.small_batches(docs.sparkSession)
     narrow = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = pa.schema([("kind", pa.int32()), ("term", pa.string()), ("place", pa.int64())])
 
@@ -191,6 +192,7 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    common.small_batches(docs.sparkSession)
     docs, shared = _with_terms(docs, revealing(docs, text_col) if terms is None else terms, text_col)
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 
@@ -225,7 +227,9 @@ def sanitised(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs, shared = _with_terms(docs, revealing(docs, text_col), text_col)
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else mask(t, _terms_of(shared, o)) for t, o in zip(texts, own, strict=True)], dtype=object)
+    def clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        common.begin()
+        for texts, own in parts:
+            yield pd.Series([None if t is None else mask(t, _terms_of(shared, o)) for t, o in zip(texts, own, strict=True)], dtype=object)
 
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string"), F.col(OWN))).select(*names)

@@ -87,6 +87,7 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: in
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = WORDS) -> Model:
     """docs: doc_id, text; labels: doc_id, quality, toxic."""
+    common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     # At most ``rows`` rows, so that they can be broadcast.
@@ -153,6 +154,7 @@ def _logit(p):
 
 
 def with_evidence(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
+    common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``WORDS`` words and the bins
 
     @F.pandas_udf("double")

@@ -207,6 +207,7 @@ def filesystem(uri: str):
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Writes shards in ascending order of identifier and returns their manifest (a row per shard, in order). A task
     writes a file of its own name and moves it into place when whole, so a task that runs again does no harm."""
+    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     at, root = filesystem(folder)
     at.create_dir(root, recursive=True)

@@ -171,6 +171,7 @@ def planned(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
 
 def write(pages: DataFrame, folder: str, **how) -> list[dict]:
     """Writes the archives; returns path and number of records of each."""
+    common.small_batches(pages.sparkSession)
     plan = planned(pages, **how)
     at, root = filesystem(folder)
     at.create_dir(root, recursive=True)
