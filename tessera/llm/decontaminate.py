@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WIDTH, MIN_COVERAGE, MIN_WORDS = 8, 0.5, 5
+WIDTH, MIN_COVERAGE, MIN_WORDS = 8, 0.3, 5
 BLOCK_WINDOWS = 1_000_000
 #: Words of measure, fixed values.
 UNITS = frozenset("mm cm m km g kg mg t l ml s ms min h hz khz mhz ghz w kw mw v a n pa kpa j kj b kb mb gb tb percent inch inches foot feet yard yards mile miles ounce ounces pound pounds gram grams kilogram kilograms meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents degree degrees".split())
