@@ -41,6 +41,8 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
 STEP, TOLERANCE = 30, 1e-6
 BLOCK = 512
+#: Documents that go are broadcast, as two numbers each, if they are so many at most; more are joined by a shuffle.
+GONE_AT_ONCE = 1_000_000
 #: A name that no column of a table has.
 OWN = "__tessera__"
 
@@ -325,9 +327,14 @@ def exact_links(members: DataFrame, threshold: float, tolerance: float, block: i
     return dealt.repartition("root", "_p", "_q").sortWithinPartitions("root", "_p", "_q", "node").mapInArrow(compare, "node binary, links long, to binary")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest identifier of its class), n_links (documents with a
     similarity of threshold or more, copies included)."""
+    return labelled(docs, **how).select("doc_id", "class_id", "n_links")
+
+
+def labelled(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``join``, with h (a hash of the text) and label (of the class; null for a blank text)."""
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = common.written(sketches(docs), "sketches")
@@ -345,16 +352,24 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     by = common.written(nodes.select("node", "copies", "low").join(links, "node", "left").join(labels, "node", "left").select("node", "copies", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("label")), "classes")
     lows = by.groupBy("label").agg(F.min("low").alias("class_id"))
-    named = by.join(lows, "label").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return known.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = by.join(lows, "label").select("node", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return known.select("doc_id", "h", "node").join(named, "node", "left").select("doc_id", "h", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one of each class: the one with the smallest identifier (of rows that repeat that
-    identifier, the first by their values). Of rows without identifier, all stay if a class has no other."""
+    """The documents with one of each class: the one with the smallest identifier, then the smallest hash of its text;
+    of rows that repeat both, one. Blank texts are classes of their own and stay."""
     from pyspark.sql import Window
 
-    marks = common.written(join(docs, **how), "marks").where(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select(F.col("doc_id").alias(OWN)).distinct()
-    kept = docs.join(marks, docs["doc_id"].eqNullSafe(marks[OWN]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in kept.columns])))
-    return kept.withColumn(OWN, F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(first)).where(F.col(OWN) == 1).drop(OWN)
+    rows = common.written(labelled(docs, **how).where("label is not null").select("label", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h").alias("row")), "rows")
+    chosen = rows.groupBy("label").agg(F.min("row").alias("first"))
+    met = rows.join(chosen, "label")
+    gone = common.written(met.where("row != first").select(F.col("row.doc_id").alias(OWN), F.col("row.h").alias(OWN + "h")).distinct(), "gone")
+    size = gone.count()
+    listed = F.broadcast(gone) if size <= GONE_AT_ONCE else gone
+    kept = docs.join(listed, docs["doc_id"].cast("long").eqNullSafe(gone[OWN]) & (F.xxhash64(docs["text"].cast("string")) == gone[OWN + "h"]), "left_anti")
+    if met.where("row = first").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # Rows that repeat identifier and text; blank ones aren't touched.
+        once = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
+        kept = kept.withColumn(OWN, F.when(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\p{IsWhite_Space}\\x1c-\\x1f]+", " ")) == "", F.lit(1)).otherwise(once)).where(F.col(OWN) == 1).drop(OWN)
+    return kept
