@@ -1,24 +1,28 @@
 """Operator 10, benchmark decontamination by template canonicalisation.
 
 Words of documents and items are canonicalised: words with a leading digit become <number>, capitalised words inside a
-sentence <name>, words of measure <unit>; all others are lower-cased. Every ``width`` consecutive canonical words of an
+sentence <name>, words of measure <unit>; all others are lower-cased. A number with separators ('1,200', '3.5') is one word here,
+and so is a name of several words. Every ``width`` consecutive canonical words of an
 item are a template window (an item of fewer words is one window). Windows with fewer than half literal words don't count.
-Documents' windows are hash-joined to the items' windows; windows of one document and item that lie on one alignment
-(document position less item position) are one occurrence, kept if its windows cover ``min_coverage`` of the item's. Then the slots
-are checked: along the alignment, equal slot values of the item must stand against equal values in the document and
-different against different, kind by kind. An occurrence whose values are the item's own is a verbatim one, else a re-parameterised one.
+An item of fewer than four times ``width`` words has windows of a quarter of its words too (``NARROW`` at least), judged apart.
+Documents' windows are hash-joined to the items' windows; windows of one document and item whose alignments
+(document position less item position) lie within ``DRIFT`` words or a quarter of the item's of each other, as words were inserted or deleted
+between them, are one occurrence, kept if its different windows are ``min_coverage`` of the item's; narrower windows must also cover ``width`` words of
+the item, or all of a shorter one. Then the slots are checked, each on the alignment of the nearest window found: equal slot values of the item must
+stand against equal values in the document and different against different, kind by kind; a slot in a gap between two alignments stands against nothing.
+An occurrence whose values are the item's own is a verbatim one, else a re-parameterised one. ``windows`` and ``coverage`` are of the width that found it.
 
 The items' windows go to the tasks in blocks of ``BLOCK_WINDOWS`` at most, so what is broadcast has a fixed bound and
 any number of items is searched for, in several passes over the documents.
 
 Nulls and empties: null texts are empty; an empty document or item has no occurrence; an item of fewer than ``MIN_WORDS`` words is
 no template and isn't searched for. Null identifiers are kept as null. Repeated documents and items give rows each. An empty table gives no
-rows. Columns other than identifier and text aren't read. Ties between alignments go to the smaller one."""
+rows. Columns other than identifier and text aren't read. Ties go to the wider windows, then to the smaller alignment."""
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH, MIN_COVERAGE, MIN_WORDS = 8, 0.3, 5
+NARROW, DRIFT = 4, 8
 BLOCK_WINDOWS = 1_000_000
 #: Words of measure, fixed values.
 UNITS = frozenset("mm cm m km g kg mg t l ml s ms min h hz khz mhz ghz w kw mw v a n pa kpa j kj b kb mb gb tb percent inch inches foot feet yard yards mile miles ounce ounces pound pounds gram grams kilogram kilograms meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters litre litres liter liters second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents degree degrees".split())
@@ -37,6 +42,8 @@ UNITS = frozenset("mm cm m km g kg mg t l ml s ms min h hz khz mhz ghz w kw mw v
 _MARK = "ⵯ"
 _NAME = re.compile("(?<=[\\w,;:’'] )(?=[A-ZÀ-ÖØ-Þ]\\w)")
 _DIGIT = re.compile(r"\d")
+#: A name of one or more words, a number with its separators, or a word.
+_TOKEN = re.compile(rf"{_MARK}\w+(?:(?: {_MARK}|-)\w+)*|\d\w*(?:[.,:/'’\u00a0\u202f-]\d\w*)*|\w+")
 NUMBER, NAME, UNIT = np.uint64(11), np.uint64(13), np.uint64(17)
 _SLOTS = np.array([NUMBER, NAME, UNIT])
 
@@ -65,7 +72,7 @@ common.MEMOS.append(_CANON)
 
 def canonical(text: str) -> tuple[list[str], np.ndarray]:
     """The words (names marked) and the hashes of their canonical forms."""
-    words = common.WORD.findall(_NAME.sub(_MARK, text))
+    words = _TOKEN.findall(_NAME.sub(_MARK, text))
     return words, np.fromiter(map(_CANON.__getitem__, words), np.uint64, len(words))
 
 
@@ -78,28 +85,35 @@ def windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return common.rolling(h, width), (slots[width:] - slots[:-width]) * 2 <= width
 
 
+def widths(n: int, width: int) -> list[int]:
+    """The widths of the windows of an item of ``n`` words."""
+    return sorted({min(width, n), min(width, n, max(NARROW, n // 4))}, reverse=True)
+
+
 class Index:
-    """Windows of some items, sorted by hash, with a bit table in front."""
+    """Windows of some items, sorted by hash, with a bit table in front. Each width of an item has its windows, as an owner of its own."""
 
     BITS = 22
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         self.width, self.items = width, []
         hashes, owners, places = [], [], []
-        self.sizes: set[int] = set()
+        self.owned: list[tuple[int, int, int]] = []  # of each owner: item, width, number of windows
         for item_id, text in items:
             words, h = canonical(text)
             if len(h) < MIN_WORDS:
                 continue
-            w, literal = windows(h, width)
-            if not literal.any():
-                continue
-            self.sizes.add(min(width, len(h)))
-            own = np.flatnonzero(literal)
-            hashes.append(w[own])
-            owners.append(np.full(len(own), len(self.items)))
-            places.append(own)
-            self.items.append((item_id, words, h, len(own)))
+            for size in widths(len(h), width):
+                w, literal = windows(h, size)
+                if not literal.any():
+                    continue
+                own = np.flatnonzero(literal)
+                hashes.append(w[own])
+                owners.append(np.full(len(own), len(self.owned)))
+                places.append(own)
+                self.owned.append((len(self.items), size, len(own)))
+            self.items.append((item_id, words, h))
+        self.sizes = {size for _, size, _ in self.owned}
         self.hashes, self.owners, self.places = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (hashes, owners, places))
         order = np.argsort(self.hashes, kind="stable")
         self.hashes, self.owners, self.places = self.hashes[order], self.owners[order].astype(np.int64), self.places[order].astype(np.int64)
@@ -114,13 +128,20 @@ class Index:
         return maybe[self.hashes[k] == w[maybe]] if len(self.hashes) else maybe[:0]
 
 
-def consistent(doc_words: list[str], doc_h: np.ndarray, item_words: list[str], item_h: np.ndarray, at: int) -> tuple[bool, int, int]:
-    """Of an occurrence that starts at word ``at``: whether its slots are consistent, how many it has, how many differ."""
+def consistent(doc_words: list[str], doc_h: np.ndarray, item_words: list[str], item_h: np.ndarray, found: dict[int, int], size: int) -> tuple[bool, int, int]:
+    """Of an occurrence (the alignment of each window found): whether its slots are consistent, how many it has, how many differ."""
     to: dict[tuple, str] = {}
     back: dict[tuple, str] = {}
     slots = differ = 0
+    places = np.array(sorted(found))
     for k in np.flatnonzero(np.isin(item_h, _SLOTS)).tolist():
-        d = at + k
+        i = int(np.searchsorted(places, k, side="right"))
+        before, after = (int(places[i - 1]) if i else None), (int(places[i]) if i < len(places) else None)
+        if before is None or (after is not None and k >= before + size and found[before] != found[after]):
+            if before is not None:
+                continue
+            before = after
+        d = found[before] + k
         if not 0 <= d < len(doc_h) or doc_h[d] != item_h[k]:
             continue
         slots += 1
@@ -134,6 +155,32 @@ def consistent(doc_words: list[str], doc_h: np.ndarray, item_words: list[str], i
     return True, slots, differ
 
 
+def occurrences(by: dict[int, set[int]], least: float, reach: int) -> Iterator[dict[int, int]]:
+    """by: the windows found on each alignment. The alignments that have ``least`` windows or more, alone or with those up to
+    ``reach`` words after them, each as the alignment of each of its windows."""
+    for at, places in by.items():
+        if len(places) >= least:
+            yield dict.fromkeys(places, at)
+    ats = sorted(by)
+    held: Counter = Counter()
+    end = 0
+    for start, low in enumerate(ats):
+        grown = end
+        while end < len(ats) and ats[end] <= low + reach:
+            held.update(by[ats[end]])
+            end += 1
+        if end > grown and end - start > 1 and len(held) >= least:
+            out: dict[int, int] = {}
+            for at in sorted(ats[start:end], key=lambda x: (-len(by[x]), x)):
+                for p in by[at]:
+                    out.setdefault(p, at)
+            yield out
+        for p in by[low]:
+            held[p] -= 1
+            if not held[p]:
+                del held[p]
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("windows", pa.int64()), ("coverage", pa.float64()), ("slots", pa.int64()), ("changed_slots", pa.int64())])
 SCHEMA = "doc_id long, item_id long, start_word long, windows long, coverage double, slots long, changed_slots long"
 
@@ -147,7 +194,7 @@ def search(doc_ids: list, texts: list[str], index: Index, min_coverage: float) -
         parts.append(h)
     ends = np.cumsum([len(p) for p in parts])
     flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    votes: dict[tuple[int, int], dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    votes: dict[tuple[int, int], dict[int, dict[int, set[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
     for size in sorted(index.sizes):
         w = common.rolling(flat, size)
         for p in index.hits(w).tolist():
@@ -156,18 +203,24 @@ def search(doc_ids: list, texts: list[str], index: Index, min_coverage: float) -
                 continue
             own = p - (int(ends[d - 1]) if d else 0)
             for k in range(np.searchsorted(index.hashes, w[p]), np.searchsorted(index.hashes, w[p], side="right")):
-                item = int(index.owners[k])
-                if min(index.width, len(index.items[item][2])) == size:
-                    votes[d, item][own - int(index.places[k])] += 1
+                owner, place = int(index.owners[k]), int(index.places[k])
+                item, of, _ = index.owned[owner]
+                if of == size:
+                    votes[d, item][owner][own - place].add(place)
     rows = []
-    for (d, item), by in sorted(votes.items()):
-        item_id, words, h, total = index.items[item]
-        for at, n in sorted(by.items(), key=lambda x: (-x[1], x[0])):
-            if n < min_coverage * total:
-                break
-            good, slots, differ = consistent(split[d], parts[d], words, h, at)
+    for (d, item), by_owner in sorted(votes.items()):
+        item_id, words, h = index.items[item]
+        options = []
+        for owner, by in by_owner.items():
+            _, size, total = index.owned[owner]
+            for found in occurrences(by, min_coverage * total, max(DRIFT, len(h) // 4)):
+                covered = size >= index.width or len({p + k for p in found for k in range(size)}) >= min(index.width, len(h))
+                if covered:
+                    options.append((-len(found) / total, -size, found[min(found)], sorted(found.items()), total))
+        for _, size, at, found, total in sorted(options):
+            good, slots, differ = consistent(split[d], parts[d], words, h, dict(found), -size)
             if good:
-                rows.append((doc_ids[d], item_id, at, n, n / total, slots, differ))
+                rows.append((doc_ids[d], item_id, at, len(found), len(found) / total, slots, differ))
                 break
     return rows
 
@@ -178,7 +231,7 @@ def item_blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) ->
     count = 0
     for r in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
         text = r[1] or ""
-        n = len(common.WORD.findall(text))
+        n = len(common.WORD.findall(text)) * 2  # two widths at most
         if held and count + n > BLOCK_WINDOWS:
             yield Index(held, width)
             held, count = [], 0

@@ -457,3 +457,24 @@ def test_many_items_go_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find(table(spark, [t for _, t in items] + ["none"]), bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(9)}
+
+
+def test_edited_items_are_found(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+
+    def changed(t, drop):
+        w = t.split()
+        for k in (2 * len(w) // 3, len(w) // 3):
+            w[k : k + drop] = [] if drop else ["extra"]
+        return " ".join(w)
+
+    items = [" ".join(word() for _ in range(n)) for n in (15, 20, 30, 45, 60)]
+    bench = spark.createDataFrame([*enumerate(items), (9, "so Anna has 12 red apples and then buys 30 green ones near old Berlin")], "item_id long, text string")
+    filler = " ".join(word() for _ in range(30))
+    texts = [f"{filler} {changed(t, drop)} {filler}" for drop in (0, 1) for t in items]
+    texts += [f"{filler} so Mary Ann Lee has 1,200 red apples and then buys 3.5 green ones near old New York {filler}", " ".join(items[3].split()[:7]) + " " + filler, filler]
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.find(table(spark, texts), bench).collect()}
+    assert set(got) == {(k, k % 5) for k in range(10)} | {(10, 9)}
+    assert all(got[k, k % 5].start_word == 30 for k in range(10))
+    assert (got[10, 9].slots, got[10, 9].changed_slots) == (4, 4) and got[10, 9].coverage == 1
