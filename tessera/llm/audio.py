@@ -4,8 +4,9 @@
    12 pitch classes, smoothed over five frames and scaled to length 1.
 2. Filters, differences of rectangle sums, are read off an integral image of (frames x pitch classes) at each frame.
    Each of 16 filters is quantised to two bits by the logarithm of its two sums; the bits are packed into a 32-bit integer (Gray code).
-3. Search: equal fingerprints are one class. Integers of the queries and of the classes are hash-joined; the matched
-   positions make an offset histogram, whose best offset aligns the recordings; the share of bit errors over the aligned integers decides.
+3. Search: equal fingerprints are one class. The queries go out in blocks of ``BLOCK`` integers and meet every class at every offset at
+   which half of the shorter one or more is aligned; bit errors are counted by a matrix product of signs. A class is found if an
+   offset has a share of bit errors of ``max_error`` or less; the offset with the least share aligns them. No pair and no offset is left out.
 
 Nulls and empties: a null, empty or undecodable recording has no integers and matches nothing; a recording shorter than a filter
 likewise. Null identifiers are kept. Repeated rows are one class. Ties between offsets go to the smaller distance, then the smaller offset. An empty table
@@ -29,7 +30,9 @@ from . import common
 FRAME_S, HOP_S = 0.256, 0.128
 LOW_HZ, HIGH_HZ = 50.0, 3500.0
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
-MAX_ERROR, MIN_VOTES = 0.2, 2
+MAX_ERROR = 0.2
+#: Integers of queries, or of classes, that are compared at once (a single longer recording is a block of its own).
+BLOCK = 32_768
 WIDTH = 16
 #: Limits between the four values of a filter, in log units.
 LIMITS = np.array([-0.25, 0.0, 0.25])
@@ -135,52 +138,92 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[start:end] ^ b[start + offset : end + offset]).sum()), 32 * (end - start)
 
 
-def search(media: DataFrame, id_col: str = "vec_id", audio_col: str = "audio", every: int = 50, max_error: float = MAX_ERROR, min_votes: int = MIN_VOTES) -> DataFrame:
+def blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (name, fp, ...) in lists of BLOCK integers at most, or of one row."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        n = len(row[1]) // 4
+        if held and size + n > BLOCK:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield held
+
+
+def by_length(fps: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the places of the fingerprints that have it and their bits as signs, a row per fingerprint."""
+    sizes = np.array([len(x) for x in fps])
+    out = []
+    for n in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == n)
+        bits = np.unpackbits(np.frombuffer(b"".join(fps[k] for k in own), np.uint8)).reshape(len(own), n * 8)
+        out.append((own, bits.astype(np.float32) * 2 - 1))
+    return out
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T of signs, exact: float32 holds whole numbers up to 2 ** 24."""
+    step = 1 << 23
+    if a.shape[1] <= step:
+        return a @ b.T
+    return sum((a[:, k : k + step] @ b[:, k : k + step].T).astype(np.float64) for k in range(0, a.shape[1], step))
+
+
+def compared(a: np.ndarray, b: np.ndarray, max_error: float) -> tuple[np.ndarray, ...]:
+    """Rows of a and of b that match, with the offset, the bit errors and the bits of the best alignment."""
+    la, lb = a.shape[1] // 32, b.shape[1] // 32
+    best = np.full(len(a) * len(b), np.inf)
+    kept = np.zeros((3, len(best)), np.int64)
+    for offset in sorted(range(1 - la, lb), key=lambda o: (abs(o), o)):
+        start, end = max(0, -offset), min(la, lb - offset)
+        if 2 * (end - start) < min(la, lb):
+            continue
+        bits = 32 * (end - start)
+        same = _product(a[:, 32 * start : 32 * end], b[:, 32 * (start + offset) : 32 * (end + offset)]).ravel()
+        hit = np.flatnonzero(same >= bits - 2 * int(max_error * bits))
+        errors = ((bits - same[hit]) / 2).astype(np.int64)
+        better = errors / bits < best[hit]
+        hit, errors = hit[better], errors[better]
+        best[hit] = errors / bits
+        kept[:, hit] = np.array([np.full(len(hit), offset), errors, np.full(len(hit), bits)])
+    found = np.flatnonzero(best < np.inf)
+    return found // len(b), found % len(b), *kept[:, found]
+
+
+def search(media: DataFrame, id_col: str = "vec_id", audio_col: str = "audio", every: int = 50, max_error: float = MAX_ERROR) -> DataFrame:
     """A row per recording: id, class_id (the smallest id with an equal fingerprint), n_integers, and, for queries (ids that
     are divisible by ``every``), matches: the classes found, with their offset, bit errors and bits, the own class included."""
-    common.small_batches(media.sparkSession)
+    spark = media.sparkSession
+    common.small_batches(spark)
     known = common.written(fingerprints(media, id_col, audio_col), "fingerprints")
     classes = known.where("fp_class is not null").groupBy("fp_class").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max((F.col("id") % every == 0).cast("int")).alias("asked"))
     classes = common.written(classes, "classes")
-
-    def places(df: DataFrame, who: str, at: str) -> DataFrame:
-        schema = pa.schema([(who, pa.binary()), ("v", pa.int64()), (at, pa.int32())])
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                    names, vs, ats = [], [], []
-                    for name, raw in zip(part.column("fp_class").to_pylist(), part.column("fp").to_pylist(), strict=True):
-                        # A held note repeats its integer: the first place of each run of equal integers votes.
-                        fp = np.frombuffer(raw, "<u4")
-                        first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-                        names += [name] * len(first)
-                        vs.append(fp[first])
-                        ats.append(first)
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(np.concatenate(vs).astype(np.int64)), pa.array(np.concatenate(ats).astype(np.int32))], schema=schema)
-
-        return df.select("fp_class", "fp").mapInArrow(spread, f"{who} binary, v long, {at} int")
-
-    asked = places(classes.where("asked = 1"), "q", "q_at")
-    held = places(classes, "c", "c_at")
-    votes = asked.join(held, "v").groupBy("q", "c", (F.col("c_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("n")).where(F.col("n") >= min_votes)
-    best = votes.groupBy("q", "c").agg(F.max(F.struct(F.col("n"), (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("m")).select("q", "c", (-F.col("m.low")).alias("offset"))
-    left = classes.select(F.col("fp_class").alias("q"), F.col("fp").alias("q_fp"))
-    right = classes.select(F.col("fp_class").alias("c"), F.col("fp").alias("c_fp"), F.col("class_id").alias("match_id"))
     schema = pa.schema([("q", pa.binary()), ("match_id", pa.int64()), ("offset", pa.int32()), ("errors", pa.int64()), ("bits", pa.int64())])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for q, c, offset, match_id, a, b in zip(*(batch.column(n).to_pylist() for n in ("q", "c", "offset", "match_id", "q_fp", "c_fp")), strict=True):
-                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-                errors, bits = align(a, b, offset)
-                if bits * 2 >= 32 * min(len(a), len(b)) and errors <= max_error * bits:
-                    rows.append((q, match_id, offset, errors, bits))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    found = best.join(left, "q").join(right, "c").select("q", "c", "offset", "match_id", "q_fp", "c_fp").mapInArrow(judge, "q binary, match_id long, offset int, errors long, bits long")
+    shape = "q binary, match_id long, offset int, errors long, bits long"
+    # Work goes with the rows, not with their few bytes.
+    dealt = classes.select("class_id", "fp").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    found = None
+    for block in blocks((bytes(r[0]), bytes(r[1])) for r in classes.where("asked = 1").select("fp_class", "fp").toLocalIterator()):
+        shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK
+
+        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            common.begin()
+            names = [name for name, _ in shared.value]
+            asked = by_length([fp for _, fp in shared.value])
+            for held in blocks(row for batch in batches for row in zip(batch.column("class_id").to_pylist(), batch.column("fp").to_pylist(), strict=True)):
+                for of_c, b in by_length([fp for _, fp in held]):
+                    for of_q, a in asked:
+                        q, c, offset, errors, bits = compared(a, b, max_error)
+                        if len(q):
+                            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in of_q[q]], pa.binary()), pa.array([held[k][0] for k in of_c[c]], pa.int64()), pa.array(offset, pa.int64()).cast(pa.int32()), pa.array(errors), pa.array(bits)], schema=schema)
+
+        own = dealt.mapInArrow(judge, shape)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = spark.createDataFrame([], shape)
     listed = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("match_id", "offset", "errors", "bits"))).alias("matches"))
     named = classes.select("fp_class", "class_id").join(listed, F.col("fp_class") == F.col("q"), "left").drop("q")
     out = known.select("id", "fp_class", (F.length("fp") / 4).cast("long").alias("n_integers")).join(named, "fp_class", "left")

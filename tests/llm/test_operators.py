@@ -400,6 +400,27 @@ def test_audio_search(spark):
     assert audio.search(media.limit(0)).count() == 0
 
 
+def test_audio_recall_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(audio, "BLOCK", 300)
+    rows = [(50 * k, tune(k)) for k in range(8)]
+    rows += [(50 * k + j, tune(k, noise=noise, lead=lead, n=n)) for k in range(8) for j, (noise, lead, n) in enumerate([(0.6, 0, 80), (0.7, 0, 80), (0.8, 5120, 80), (0.7, 0, 60), (0.4, 200, 130)], 1)]
+    got = {r.vec_id: r.matches for r in audio.search(spark.createDataFrame(rows, "vec_id long, audio binary")).collect()}
+    fps = {i: audio.fingerprint(raw) for i, raw in rows}
+    found = []
+    for q in range(0, 400, 50):
+        want = []
+        for c, fp in sorted(fps.items()):
+            options = []
+            for offset in range(-len(fps[q]), len(fp) + 1):
+                errors, bits = audio.align(fps[q], fp, offset)
+                if bits and bits * 2 >= 32 * min(len(fp), len(fps[q])) and errors <= 0.2 * bits:
+                    options.append((errors / bits, abs(offset), offset, errors, bits))
+            want += [(c, *min(options)[2:])] if options else []
+        assert [tuple(m) for m in got[q]] == want
+        found += [m for m in want if m[2]]
+    assert sum(m[2] > 0.1 * m[3] for m in found) >= 8  # noisy ones, whose integers are hardly ever equal
+
+
 def test_audio_filters_against_plain_sums():
     c = audio.chroma(*audio.decode(tune(3)))
     fp = audio.fingerprint(tune(3))
