@@ -3,8 +3,10 @@
 Base spans: e-mail addresses, IP addresses, card and phone numbers, each kind leftmost and without overlaps of its own.
 Then terms that reveal them: in a corpus of N words, with n_k words in the windows of ``WINDOW`` words to each side of the entities of
 kind k, a term t disclosed by PMI(t; k) / IC(k), where PMI = log(N n_tk / (n_t n_k)) and IC = -log(n_k / N). A term
-exceeding ``DISCLOSURE`` for a kind, in ``SUPPORT`` different windows or more (equal windows, of copies, count once), is a span of
+exceeding ``DISCLOSURE`` for a kind, in ``SUPPORT`` different windows or more, is a span of
 kind ``term`` wherever it stands in a window of an entity of that kind. ``sanitised`` replaces entities by their kind and removes terms.
+All four counts are of occurrences in all documents, copies included, a word next to several entities of a kind once for that kind; for the support
+alone, windows with the same entity and the same words, as of copies, count once.
 
 Nulls and empties: a null text is empty and has no spans; a null identifier is kept as null; repeated rows give a row each; an
 empty table gives no rows; columns other than the text aren't read."""
@@ -97,24 +99,29 @@ def revealing(docs: DataFrame, text_col: str = "text", window: int = WINDOW, sup
     """(kind, term) of the terms that exceed the threshold, from counts over all documents."""
     common.small_batches(docs.sparkSession)
     narrow = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marks = pa.schema([("kind", pa.int32()), ("term", pa.string()), ("place", pa.int64())])
+    marks = pa.schema([("kind", pa.int32()), ("term", pa.string()), ("place", pa.int64()), ("n", pa.int64())])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin()
         for batch in batches:
             for part in common.slices(batch, "text"):
-                rows = []
+                own: Counter = Counter()
                 for text in common.texts_of(part.column("text")):
-                    for kind, words in around(text, found, window) if (found := entities(text)) else ():
-                        place = xxhash.xxh3_64_intdigest(" ".join(w for w, _, _ in words).encode()) - (1 << 63)
-                        rows += [(kind, w, place) for w, _, _ in words]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), marks, strict=True)], schema=marks)
-
-    # Each different window counts once; the words of a kind's windows are n_k.
-    seen = common.written(narrow.mapInArrow(near, "kind int, term string, place long").distinct(), "windows")
-    by_kind = {r["kind"]: r["n"] for r in seen.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # four at most
-    by_term = seen.groupBy("kind", "term").agg(F.count("*").alias("n_tk")).where(F.col("n_tk") >= support)
+                    counted: set[tuple[int, int]] = set()
+                    found = entities(text)
+                    for (start, end, _), (kind, words) in zip(found, around(text, found, window), strict=True):
+                        place = xxhash.xxh3_64_intdigest("\n".join([text[start:end], *(w for w, _, _ in words)]).encode("utf-8", "surrogatepass")) - (1 << 63)
+                        for w, at, _ in words:
+                            own[kind, w, place] += (kind, at) not in counted
+                            counted.add((kind, at))
+                if own:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*own, strict=True), marks)), pa.array(own.values(), pa.int64())], schema=marks)
+
+    # A row for each term of each different window, with its occurrences; the words of a kind's windows are n_k.
+    seen = narrow.mapInArrow(near, "kind int, term string, place long, n long").groupBy("kind", "term", "place").agg(F.sum("n").alias("n"))
+    every = common.written(seen.groupBy("kind", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_tk")), "windows")
+    by_kind = {r["kind"]: r["n"] for r in every.groupBy("kind").agg(F.sum("n_tk").alias("n")).collect()}  # four at most
+    by_term = every.where((F.col("support") >= support) & (F.col("n_tk") > 0)).select("kind", "term", "n_tk")
     terms = common.written(by_term, "terms")
     if not (count := terms.select("term").distinct().count()):
         return terms.select("kind", "term")

@@ -368,6 +368,22 @@ def test_pii_report_and_terms(spark, monkeypatch, at_once):
     assert pii.report(table(spark, [])).count() == 0
 
 
+def test_pii_terms_of_fields_and_of_copies(spark):
+    r = random.Random(6)
+    fill = lambda n: " ".join(r.choice("alpha beta gamma delta".split()) for _ in range(n))
+    # A field alone on its line, in one context with many numbers; and one document, copied, that holds a term far from entities too.
+    fields = [f"{fill(60)}\nTelefon: +1 (743) 555-{1000 + k}\n{fill(60)}" for k in range(20)]
+    copied = [f"{fill(20)} rapport u{k}@x.example.com {fill(20)}" for k in range(10)]
+    texts = fields + copied + [f"{' rapport alpha' * 5} {fill(20)} rapport v@x.example.com {fill(20)}"] * 40 + [fill(60)] * 30
+    got = {tuple(x) for x in pii.revealing(table(spark, texts)).collect()}
+    assert (3, "telefon") in got and (0, "rapport") not in got
+    # All of its occurrences stand next to entities, most of them in copies of one document.
+    texts = [f"{fill(20)} kontakt u{k}@x.example.com {fill(20)}" for k in range(10)] + [f"{fill(20)} kontakt w@x.example.com {fill(20)}"] * 200 + [fill(60)] * 30
+    assert {tuple(x) for x in pii.revealing(table(spark, texts)).collect()} == {(0, "kontakt")}
+    alone = ["Telefax: +1 (743) 555-1234"] * 30 + [fill(60)] * 30
+    assert pii.revealing(table(spark, alone)).count() == 0  # copies of one window aren't support
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------
 
 
