@@ -16,6 +16,7 @@ and all documents are kept. Very long texts count whole. Other columns aren't re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 from operator import eq
 
@@ -35,6 +36,18 @@ _BINS = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8])
 SHAPES = ("symbols", "capitals", "bars", "repeats", "digits", "bangs", "short", "echo")
 
 
+@cache
+def _upper() -> np.ndarray:
+    """Whether a code point is a capital."""
+    return np.fromiter((chr(k).isupper() for k in range(0x110000)), bool, 0x110000)
+
+
+def capitals(text: str, chars: int = 1 << 20) -> int:
+    """The capitals of the whole text, so many characters at a time."""
+    parts = (text[k : k + chars] for k in range(0, len(text), chars))
+    return sum(int(np.count_nonzero(_upper()[np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4")])) for x in parts)
+
+
 def _shape(text: str, words: list[str]) -> list[int]:
     """The bin of each shape measure: a share between 0 and 1."""
     n = max(1, len(text))
@@ -44,7 +57,7 @@ def _shape(text: str, words: list[str]) -> list[int]:
     sentences = [x for line in lines for x in line.split(". ")]
     raw = (
         symbols / n,
-        sum(map(str.isupper, text[:: max(1, n // 4096)])) / max(1, len(text[:: max(1, n // 4096)])),
+        capitals(text) / n,
         text.count("|") / n,
         1 - len(set(sentences)) / max(1, len(sentences)),
         sum(map(text.count, "0123456789")) / n,

@@ -115,6 +115,14 @@ def test_quality_held_out(spark):
     assert quality.accepted(docs, fit).columns == docs.columns
 
 
+def test_capitals_of_the_whole_text():
+    r = random.Random(9)
+    for text in ["", "x", "AbÉßΣǅⅣ😀", "".join(r.choice("abcÀÉΣx Ⅳ") for _ in range(50_000))]:
+        assert quality.capitals(text) == quality.capitals(text, 7) == sum(map(str.isupper, text))
+    text = "Abcd" * 5000  # a stride of 4 would see capitals alone
+    assert quality._shape(text, [text])[1] == np.searchsorted(quality._BINS, 0.25, side="right")
+
+
 def test_quality_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = table(spark, TEXTS).select("doc_id", "text", "source", "lang")
