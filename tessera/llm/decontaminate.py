@@ -181,8 +181,8 @@ def occurrences(by: dict[int, set[int]], least: float, reach: int) -> Iterator[d
                 del held[p]
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("windows", pa.int64()), ("coverage", pa.float64()), ("slots", pa.int64()), ("changed_slots", pa.int64())])
-SCHEMA = "doc_id long, item_id long, start_word long, windows long, coverage double, slots long, changed_slots long"
+_OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("windows", pa.int64()), ("coverage", pa.float64()), ("slots", pa.int64()), ("changed_slots", pa.int64()), ("h", pa.int64())])
+SCHEMA = "doc_id long, item_id long, start_word long, windows long, coverage double, slots long, changed_slots long, h long"
 
 
 def search(doc_ids: list, texts: list[str], index: Index, min_coverage: float) -> list[tuple]:
@@ -242,8 +242,13 @@ def item_blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) ->
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row per document and item that it holds."""
+    return _found(docs, benchmark, width, min_coverage, id_col, text_col, item_id_col, item_text_col).drop("h")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """As ``find``, with h, the hash of the document's text."""
     common.small_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
     found = None
     for index in item_blocks(benchmark, width, item_id_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by BLOCK_WINDOWS
@@ -252,7 +257,8 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_coverage
             common.begin(_CANON)
             for batch in batches:
                 for part in common.slices(batch, "text"):
-                    rows = search(part.column("doc_id").to_pylist(), common.texts_of(part.column("text")), shared.value, min_coverage)
+                    rows = search(list(zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist(), strict=True)), common.texts_of(part.column("text")), shared.value, min_coverage)
+                    rows = [(doc_id, *rest, h) for (doc_id, h), *rest in rows]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
@@ -262,6 +268,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_coverage
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that hold no item, all columns."""
-    hit = common.written(find(docs, benchmark, **how).select(F.col("doc_id").alias("__tessera__")).distinct(), "leaks")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__tessera__"]), "left_anti")
+    """The documents that hold no item, all columns. A document is known by identifier and hash of its text, as identifiers may be null or repeat."""
+    hit = common.written(_found(docs, benchmark, **how).select(F.col("doc_id").alias("__tessera__"), F.col("h").alias("__tessera_h__")).distinct(), "leaks")
+    same = docs[how.get("id_col", "doc_id")].cast("long").eqNullSafe(hit["__tessera__"]) & (F.xxhash64(docs[how.get("text_col", "text")].cast("string")) == hit["__tessera_h__"])
+    return docs.join(hit, same, "left_anti")

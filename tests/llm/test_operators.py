@@ -523,3 +523,12 @@ def test_edited_items_are_found(spark):
     assert set(got) == {(k, k % 5) for k in range(10)} | {(10, 9)}
     assert all(got[k, k % 5].start_word == 30 for k in range(10))
     assert (got[10, 9].slots, got[10, 9].changed_slots) == (4, 4) and got[10, 9].coverage == 1
+
+
+def test_clean_with_null_and_repeated_identifiers(spark):
+    item = "a quiet river runs over the old stones near the mill and the green hill"
+    texts = [item, "nothing of it", None, f"so {item} again", "nothing here", item, "", "nothing of it"]
+    docs = table(spark, texts, [None, None, None, 7, 7, 8, 8, 9])
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, "nothing of it"), (None, None), (7, "nothing here"), (8, ""), (9, "nothing of it")])
