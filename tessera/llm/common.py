@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words of the similarity operators: runs of Unicode letters, digits and underscores.
 WORD = re.compile(r"\w+")
 #: Entries that a worker's memo of words may hold before it is emptied.
-MEMO_LIMIT = 300_000
+MEMO_LIMIT = 150_000
 #: Rows of an Arrow batch at most, so that a batch of texts is a few MB in the JVM and in a worker.
-ARROW_ROWS = 1000
+ARROW_ROWS, ARROW_BYTES = 1000, 4_000_000
 
 _made: list[str] = []
 
@@ -30,10 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to ARROW_ROWS rows, if they aren't smaller."""
+    """Sets the session's Arrow batches to ARROW_ROWS rows and ARROW_BYTES bytes, if they aren't smaller."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -17,7 +17,8 @@ import numpy as np
 
 from . import common
 
-MEMO_LIMIT = 450_000
+#: Words of one generation of the memo: about 25 MB, so 50 MB for both.
+MEMO_LIMIT = 100_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
