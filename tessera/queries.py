@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import models, scores, spans, text
 from .functions.align import tiles
-from .operators import bm25, candidates, segment, simhash, summary, vectors
+from .operators import bm25, candidates, grams, segment, simhash, summary, vectors
 from .sources import report
+from .store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -178,19 +179,23 @@ def ignore_lines_filter(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(p).cast("long").alias("kept"), F.md5(F.array_join(p, "\n")).alias("h"))
 
 
-@query(
-    "WITH l AS (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, generate_subscripts(string_split(text,chr(10)),1) AS n FROM documents),"
-    f" k AS (SELECT *, CASE WHEN trim(line)='' THEN 'blank' WHEN list_contains({_sql_list(HEADINGS)}, lower(trim(line))) THEN 'heading' ELSE 'text' END AS kind FROM l),"
+_LINES = (
+    "l AS (SELECT doc_id, unnest(string_split(text,chr(10))) AS line, generate_subscripts(string_split(text,chr(10)),1) AS n, len(string_split(text,chr(10))) AS m FROM documents),"
+    f" k AS (SELECT *, sum(length(line)+1) OVER (PARTITION BY doc_id ORDER BY n)-length(line)-1 AS s, CASE WHEN trim(line)='' THEN 'blank' WHEN list_contains({_sql_list(HEADINGS)}, lower(trim(line))) THEN 'heading' ELSE 'text' END AS kind FROM l),"
     " b AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY n),'blank') AS before FROM k),"
     " i AS (SELECT *, sum((kind='heading' OR (kind='text' AND before<>'text'))::INT) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM b)"
-    " SELECT doc_id, (island-1)::INT AS block_no, md5(any_value(CASE WHEN kind='heading' THEN trim(line) END)) AS heading, count(*) AS n_lines, bool_or(kind='heading') AS is_heading FROM i WHERE kind<>'blank' GROUP BY doc_id, island"
+)
+
+
+@query(
+    f"WITH {_LINES} SELECT doc_id, (island-1)::INT AS block_no, md5(any_value(CASE WHEN kind='heading' THEN trim(line) END)) AS heading, count(*) AS n_lines, bool_or(kind='heading') AS is_heading,"
+    " min(CASE WHEN kind='heading' THEN s+instr(line,trim(line))-1 ELSE s END)::INT AS char_start, max(CASE WHEN kind='heading' THEN s+instr(line,trim(line))-1+length(trim(line)) ELSE s+length(line)+(n<m)::INT END)::INT AS char_end FROM i WHERE kind<>'blank' GROUP BY doc_id, island"
 )
 def line_blocks(spark, sf):
     b = segment.blocks(table(spark, sf, "documents"), HEADINGS)
-    ends = F.size(F.regexp_extract_all(F.rtrim(F.col("text")), F.lit("\n(?=.)"), 0))
     trimmed = F.regexp_replace("text", "\n$", "")
     lines_in = F.length(trimmed) - F.length(F.replace(trimmed, F.lit("\n"), F.lit(""))) + 1
-    return b.select("doc_id", "block_no", F.md5(F.when(F.col("is_heading"), F.col("text"))).alias("heading"), lines_in.cast("long").alias("n_lines"), "is_heading")
+    return b.select("doc_id", "block_no", F.md5(F.when(F.col("is_heading"), F.col("text"))).alias("heading"), lines_in.cast("long").alias("n_lines"), "is_heading", F.col("start").alias("char_start"), F.col("end").alias("char_end"))
 
 
 @query("SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s,'|')) AS h FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text,'[^.!?\\n]+[.!?]*'), lambda x: trim(x)), lambda x: x<>'') AS s FROM documents)")
@@ -199,10 +204,18 @@ def sentence_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("h"))
 
 
-@query("SELECT conv_id, turn, len(s)::BIGINT AS n, coalesce(list_sum(list_transform(s, lambda x: length(x))),0)::BIGINT AS chars FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text,'[^.!?\\n]+[.!?]*'), lambda x: trim(x)), lambda x: x<>'') AS s FROM conversations)")
+def _sentences_sql(keys: str, body: str, src: str, base: str = "0") -> str:
+    """keys, and z: the sentences of a text as (s, b), the sentence and where it starts, base added."""
+    return (
+        f"SELECT {keys}, list_transform(list_filter(list_transform(range(1,len(p)+1), lambda i: {{'p': p[i], 's': trim(p[i],' '), 'b': base+coalesce(list_sum(n[1:i-1]),0)::BIGINT+n[i]-length(ltrim(p[i],' '))}}), lambda x: x.s<>'' AND regexp_matches(x.p,'^[^.!?\\n]')), lambda x: {{'s': x.s, 'b': x.b}}) AS z"
+        f" FROM (SELECT *, list_transform(p, lambda x: length(x)) AS n FROM (SELECT {keys}, {base} AS base, regexp_extract_all({body},'[^.!?\\n]+[.!?]*|[.!?\\n]') AS p FROM {src}))"
+    )
+
+
+@query("SELECT conv_id, turn, len(z)::BIGINT AS n, array_to_string(list_transform(z, lambda x: x.b||':'||(x.b+length(x.s))),',') AS places FROM (" + _sentences_sql("conv_id, turn", "text", "conversations") + ")")
 def sentence_offsets(spark, sf):
     s = segment.sentences_with_offsets(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(s).cast("long").alias("n"), F.aggregate(s, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("chars"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(s).cast("long").alias("n"), F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("places"))
 
 
 @query(f"SELECT doc_id, len(t)::BIGINT AS n, len(list_distinct(t))::BIGINT AS n_distinct, round(coalesce(list_avg(list_transform(t, lambda x: length(x))),0),6) AS mean_length FROM (SELECT doc_id, regexp_extract_all(text,'{_TOK}') AS t FROM documents)")
@@ -212,19 +225,40 @@ def token_stats(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), r6(F.when(F.size(t) > 0, total / F.size(t)).otherwise(F.lit(0.0))).alias("mean_length"))
 
 
-@query(
-    "WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x,'[\\p{L}\\p{M}\\p{N}_]+|[^\\s\\p{L}\\p{M}\\p{N}_]'))) AS n FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text,'[^.!?\\n]+[.!?]*'), lambda x: trim(x,' ')), lambda x: x<>'') AS s FROM documents)),"
-    " t AS MATERIALIZED (SELECT doc_id, s, len(s) AS m, list_transform(range(0,len(s)+1), lambda k: coalesce(list_sum(n[1:k]),0)) AS c FROM s WHERE len(s)>0),"
-    " w(doc_id, no, i, j) AS (SELECT doc_id, 0, 0, list_max(list_filter(range(1,m+1), lambda k: c[k+1]<=260 OR c[k]=0)) FROM t"
-    " UNION ALL SELECT doc_id, no+1, ni, list_max(list_filter(range(ni+1,m+1), lambda k: c[k+1]-c[ni+1]<=260 OR c[k]=c[ni+1])) FROM (SELECT w.doc_id, no, m, c, coalesce(list_min(list_filter(range(i+1,j+1), lambda k: c[k+1]-c[i+1]>=210)), i+1) AS ni FROM w JOIN t ON t.doc_id=w.doc_id WHERE j<m))"
-    " SELECT w.doc_id, no::INT AS chunk_id, (c[j+1]-c[i+1])::INT AS n_tokens, md5(array_to_string(t.s[i+1:j],' ')) AS h FROM w JOIN t ON t.doc_id=w.doc_id"
-)
+_CHUNK_TOKEN = "[\\p{L}\\p{M}\\p{N}_]+|[^\\s\\p{L}\\p{M}\\p{N}_]"
+
+
+def _chunks_sql(sentences: str, key: str, extra: str = "") -> str:
+    """Greedy chunks of each key's sentences: t (s, b, m, n, c: sentences, starts, their number, tokens and running sums) and w (no, i, j: a chunk holds sentences i+1 to j)."""
+    return (
+        f"WITH RECURSIVE {extra} s AS MATERIALIZED (SELECT *, list_transform(z, lambda x: len(regexp_extract_all(x.s,'{_CHUNK_TOKEN}'))) AS n FROM ({sentences})),"
+        f" t AS MATERIALIZED (SELECT *, len(z) AS m, list_transform(range(0,len(z)+1), lambda k: coalesce(list_sum(n[1:k]),0)) AS c FROM s WHERE len(z)>0),"
+        f" w({key}, no, i, j) AS (SELECT {key}, 0, 0, list_max(list_filter(range(1,m+1), lambda k: c[k+1]<=260 OR c[k]=0)) FROM t"
+        f" UNION ALL SELECT {key}, no+1, ni, list_max(list_filter(range(ni+1,m+1), lambda k: c[k+1]-c[ni+1]<=260 OR c[k]=c[ni+1])) FROM (SELECT w.{key}, no, m, c, coalesce(list_min(list_filter(range(i+1,j+1), lambda k: c[k+1]-c[i+1]>=210)), i+1) AS ni FROM w JOIN t ON t.{key}=w.{key} WHERE j<m))"
+    )
+
+
+_CHUNK_COLS = "(z[i+1].b)::INT AS char_start, (z[j].b+length(z[j].s))::INT AS char_end, (c[j+1]-c[i+1])::INT AS n_tokens, md5(array_to_string(list_transform(z[i+1:j], lambda x: x.s),' ')) AS h"
+_GREEDY = _chunks_sql(_sentences_sql("doc_id", "text", "documents"), "doc_id")
+
+
+@query(_GREEDY + f" SELECT w.doc_id, no::INT AS chunk_id, {_CHUNK_COLS} FROM w JOIN t ON t.doc_id=w.doc_id")
 def chunk_greedy(spark, sf):
     c = segment.chunks(table(spark, sf, "documents"), paragraphs=False)
-    return c.select("doc_id", "chunk_id", "n_tokens", F.md5("disp").alias("h"))
+    return c.select("doc_id", "chunk_id", "char_start", "char_end", "n_tokens", F.md5("disp").alias("h"))
 
 
-@query()
+_BLOCKS_SQL = (
+    f"{_LINES}, x AS (SELECT doc_id, island, bool_or(kind='heading') AS heading, string_agg(CASE WHEN kind='heading' THEN trim(line) ELSE line END, chr(10) ORDER BY n) AS body, min(CASE WHEN kind='heading' THEN s+instr(line,trim(line))-1 ELSE s END) AS base FROM i WHERE kind<>'blank' GROUP BY doc_id, island),"
+    " y AS MATERIALIZED (SELECT doc_id::VARCHAR||':'||island AS bk, * FROM x),"
+)
+
+
+@query(
+    _chunks_sql(_sentences_sql("bk", "body", "y WHERE NOT heading", "base"), "bk", _BLOCKS_SQL)
+    + ", u AS (SELECT bk, no, " + _CHUNK_COLS + f", false AS is_heading FROM w JOIN t USING (bk) UNION ALL SELECT bk, 0, base::INT, (base+length(body))::INT, len(regexp_extract_all(body,'{_CHUNK_TOKEN}'))::INT, md5(body), true FROM y WHERE heading)"
+    " SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY island, no)-1)::INT AS chunk_id, char_start, char_end, n_tokens, is_heading, h FROM u JOIN y USING (bk)"
+)
 def chunk_paragraphs(spark, sf):
     return segment.chunks(table(spark, sf, "documents"), headings=HEADINGS).select("doc_id", "chunk_id", "char_start", "char_end", "n_tokens", "is_heading", F.md5("disp").alias("h"))
 
@@ -266,13 +300,12 @@ ORACLE_SQL["simhash_near_pairs"] = _with("SELECT x.k AS a, y.k AS b, bit_count(x
 @query(_with("SELECT term, df, round(idf,6) AS idf FROM idf"))
 def bm25_term_stats(spark, sf):
     d = _docs(spark, sf)
-    s = bm25.statistics(bm25.postings(d, "doc_id", F.col("t")), bm25.lengths(d, "doc_id", F.col("t")))
-    return s.select("term", "df", r6("idf").alias("idf"))
+    return bm25.statistics(d, F.col("t")).select("term", "df", r6("idf").alias("idf"))
 
 
 @query(_with("SELECT item_id, doc_id, round(score,6) AS score FROM bm"))
 def bm25_scores(spark, sf):
-    return bm25.scores(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", F.col("t"), F.col("t")).withColumn("score", r6("score"))
+    return bm25.scores(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", F.col("t"), F.col("t")).select("item_id", "doc_id", r6("score").alias("score"))
 
 
 def _bm25_top(spark, sf):
@@ -316,28 +349,29 @@ def vector_approximate(spark, sf):
 # --- features -----------------------------------------------------------------------------------------------------
 
 
-def _jaccard(spark, sf) -> DataFrame:
-    """(item_id, doc_id, jac) of pairs with a common 5-gram, over an inverted index."""
-    g = F.array_distinct(text.char_ngrams(F.col("t"), 5))
-    d, b = _docs(spark, sf).select("doc_id", g.alias("g")), _items(spark, sf).select("item_id", g.alias("g"))
-    met = b.select("item_id", F.size("g").alias("nq"), F.explode("g").alias("gram")).join(d.select("doc_id", F.size("g").alias("na"), F.explode("g").alias("gram")), "gram")
-    i = F.count("*")
-    return met.groupBy("item_id", "doc_id").agg(scores.ratio(i, F.first("na"), F.first("nq")).alias("jac"))
-
-
-def _best3(jac: DataFrame) -> DataFrame:
-    return candidates.best(jac, "item_id", "doc_id", F.round("jac", 9), 3)
+def _best3(spark, sf, k: int = 3) -> DataFrame:
+    return grams.topk(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", k=k)
 
 
 @query(_with("SELECT item_id, doc_id, round(jac,6) AS jac, rank FROM jt"))
 def jaccard_5gram_topk(spark, sf):
-    return _best3(_jaccard(spark, sf)).select("item_id", "doc_id", r6("jac").alias("jac"), "rank")
+    return _best3(spark, sf).select("item_id", "doc_id", r6("jac").alias("jac"), "rank")
+
+
+#: Keys that are broadcast; more are joined by a shuffle.
+KEYS_AT_ONCE = 1_000_000
+
+
+def _of(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """The rows whose key occurs among the (written) pairs."""
+    keys = pairs.select(key).distinct()
+    return rows.join(F.broadcast(keys) if keys.count() <= KEYS_AT_ONCE else keys, key, "left_semi")
 
 
 def _pairs(spark, sf) -> DataFrame:
     """The three best documents of each item, with the texts."""
-    top = _best3(_jaccard(spark, sf)).drop("rank")
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("d_text"), text.normalize_whitespace(F.lower("text")).alias("dt"))
+    top = written(_best3(spark, sf).drop("rank"), "pairs")  # three rows an item
+    d = _of(table(spark, sf, "documents"), top, "doc_id").select("doc_id", F.col("text").alias("d_text"), text.normalize_whitespace(F.lower("text")).alias("dt"))
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("b_text"), text.normalize_whitespace(F.lower("text")).alias("bt"))
     return top.join(d, "doc_id").join(b, "item_id")
 
@@ -373,34 +407,42 @@ def lexical_penalised(spark, sf):
 # --- candidates, scores, records ----------------------------------------------------------------------------------
 
 
-def _overlap(spark, sf) -> DataFrame:
-    """(item_id, doc_id, bi, held): shares of common tokens, which stand in for the two models in queries with SQL."""
-    d, b = bm25.postings(_docs(spark, sf), "doc_id", F.col("t")), bm25.postings(_items(spark, sf), "item_id", F.col("t"))
-    dn, bn = d.groupBy("doc_id").agg(F.count("*").alias("dn")), b.groupBy("item_id").agg(F.count("*").alias("bn"))
-    met = b.join(d, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("common")).join(dn, "doc_id").join(bn, "item_id")
-    return met.select("item_id", "doc_id", (F.col("common") / (F.col("dn") + F.col("bn")) * 2).alias("bi"), (F.col("common") / F.col("bn")).alias("held"))
+def _lexical(spark, sf) -> DataFrame:
+    """(item_id, doc_id, bm25_raw, bi, held) of pairs with a common term, written. bi and held, shares of common tokens, stand in for the two models in queries with SQL."""
+    met = bm25.scores(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", F.col("t"), F.col("t"))
+    own = _items(spark, sf).select("item_id", F.size(F.array_distinct(text.tokens(F.col("t")))).alias("bn"))
+    both = met.join(own, "item_id")
+    return written(both.select("item_id", "doc_id", F.col("score").alias("bm25_raw"), (F.col("common") / (F.col("terms") + F.col("bn")) * 2).alias("bi"), (F.col("common") / F.col("bn")).alias("held")), "lexical")
 
 
-def _candidates(spark, sf) -> DataFrame:
-    near = candidates.best(_overlap(spark, sf), "item_id", "doc_id", F.round("bi", 9), 50)
-    return candidates.union_cut([_bm25_top(spark, sf), simhash_topk(spark, sf), near], "item_id", "doc_id", 50)
+def _candidates(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The candidate pairs, written, and what they were found by: lexical scores, and the SimHash of items and of documents."""
+    lexical = _lexical(spark, sf)
+    items, docs = (written(_hashed(df, key), "hashes") for df, key in ((_items(spark, sf), "item_id"), (_docs(spark, sf), "doc_id")))
+    by_bm25 = bm25.topk(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", F.col("t"), F.col("t"), 30, scored=lexical.withColumnRenamed("bm25_raw", "score"))
+    by_hash = simhash.topk(items, docs, "item_id", "doc_id", k=50)
+    near = candidates.best(lexical, "item_id", "doc_id", F.round("bi", 9), 50)
+    return written(candidates.union_cut([by_bm25, by_hash, near], "item_id", "doc_id", 50), "candidates"), lexical, items, docs
 
 
 @query(_with("SELECT item_id, doc_id FROM cu"))
 def candidate_union_cut(spark, sf):
-    return _candidates(spark, sf)
+    return _candidates(spark, sf)[0]
 
 
 def _features(spark, sf) -> DataFrame:
+    """Features of the candidate pairs alone, written."""
     keys = ["item_id", "doc_id"]
-    both = _candidates(spark, sf)
-    d, b = _hashed(_docs(spark, sf), "doc_id").withColumnRenamed("simhash", "x"), _hashed(_items(spark, sf), "item_id").withColumnRenamed("simhash", "y")
-    raw = bm25.scores(_items(spark, sf), _docs(spark, sf), "item_id", "doc_id", F.col("t"), F.col("t")).withColumnRenamed("score", "bm25_raw")
-    met = both.join(_overlap(spark, sf), keys, "left").join(_jaccard(spark, sf), keys, "left").join(raw, keys, "left").join(d, "doc_id").join(b, "item_id")
+    both, lexical, items, docs = _candidates(spark, sf)
+    g = F.array_distinct(text.char_ngrams(F.col("t"), 5))
+    right = docs.withColumnRenamed("simhash", "x").join(_of(table(spark, sf, "documents"), both, "doc_id").select("doc_id", text.normalize_whitespace(F.lower("text")).alias("t")).select("doc_id", g.alias("gx")), "doc_id")
+    left = items.withColumnRenamed("simhash", "y").join(_items(spark, sf).select("item_id", g.alias("gy")), "item_id")
+    met = both.join(lexical, keys, "left").join(right, "doc_id").join(left, "item_id")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    lex = scores.lexical_base(zero("jac"), scores.hamming_similarity(F.col("x"), F.col("y")))
+    inter = F.size(F.array_intersect("gx", "gy"))
+    lex = scores.lexical_base(scores.ratio(inter, F.size("gx"), F.size("gy")), scores.hamming_similarity(F.col("x"), F.col("y")))
     feats = met.select(*keys, F.round(zero("bi"), 9).alias("bi"), zero("held").alias("held"), F.round(lex, 9).alias("lex"), zero("bm25_raw").alias("bm25_raw"))
-    return candidates.prefilter(feats, "item_id", "doc_id")
+    return written(candidates.prefilter(feats, "item_id", "doc_id"), "features")
 
 
 @query(_with("SELECT item_id, doc_id, round(bi,6) AS bi, round(lex,6) AS lex, eligible FROM pre"))
@@ -552,8 +594,8 @@ def marked_text(spark, sf):
 @query()
 def lcs_align(spark, sf):
     """The best document's chunks and each item, aligned."""
-    top = candidates.best(_jaccard(spark, sf), "item_id", "doc_id", F.round("jac", 9), 1)
-    d = segment.chunks(table(spark, sf, "documents"), paragraphs=False).select("doc_id", "chunk_id", F.lower("disp").alias("y"))
+    top = written(_best3(spark, sf, 1), "pairs")
+    d = segment.chunks(_of(table(spark, sf, "documents"), top, "doc_id"), paragraphs=False).select("doc_id", "chunk_id", F.lower("disp").alias("y"))
     b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("x"))
     met = top.join(b, "item_id").join(d, "doc_id").withColumn("pairs", tiles(F.col("x"), F.col("y")))
     return met.where(F.size("pairs") > 0).select("item_id", "doc_id", "chunk_id", F.size("pairs").alias("n"), F.to_json("pairs").alias("pairs"))
@@ -596,6 +638,8 @@ def minmax_scale(spark, sf):
     return d.crossJoin(F.broadcast(one)).select("doc_id", r6(scores.minmax(F.col("n_chars"), F.col("lo"), F.col("hi"))).alias("scaled"))  # one row
 
 
-@query("SELECT source, count(*) AS chunks FROM documents GROUP BY source")
+@query(_GREEDY + " SELECT source, count(*) AS chunks FROM w JOIN documents d ON d.doc_id=w.doc_id GROUP BY source")
 def corpus_counts(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("chunks"))
+    """Chunks of each source."""
+    d = table(spark, sf, "documents")
+    return segment.chunks(d, paragraphs=False).join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("chunks"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import text
-from tessera.operators import bm25, candidates, simhash, summary, vectors
+from tessera.operators import bm25, candidates, grams, simhash, summary, vectors
 from tessera.plans import compare, index
 from tessera.sources import dicts, docx, report
 
@@ -75,6 +75,55 @@ def test_vector_topk(spark):
         vectors.topk(q, df, "query_id", "vec_id", metric="other")
 
 
+def test_recall_of_approximate_vectors(spark):
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(5000, 64)))], "vec_id long, embedding array<float>").repartition(5)
+    q = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(x.query_id, x.vec_id): x.score for x in vectors.topk(q, df, "query_id", "vec_id", k=10).collect()}
+    got = {(x.query_id, x.vec_id): x.score for x in vectors.approximate(q, df, "query_id", "vec_id", k=10).collect()}
+    assert len(got) == len(exact) == 1000 and len(got.keys() & exact.keys()) >= 900
+    assert all(abs(got[p] - exact[p]) < 1e-8 for p in got.keys() & exact.keys())
+    none = df.limit(0)
+    assert vectors.approximate(q, none, "query_id", "vec_id").count() == vectors.approximate(none.withColumnRenamed("vec_id", "query_id"), df, "query_id", "vec_id").count() == 0
+
+
+def test_gram_topk_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(grams, "BLOCK_POSTINGS", 60)
+    r = np.random.default_rng(5)
+    word = lambda n: "".join(r.choice(list("abcé😀 "), n))
+    docs = [(i, word(int(r.integers(0, 40)))) for i in range(80)] + [(90, None)]
+    asked = [(i, word(20)) for i in range(12)] + [(20, "abc"), (21, None)]
+    sets = {i: {t[k : k + 3] for k in range(len(t or "") - 2)} if t else set() for i, t in docs}
+    want = []
+    for q, t in asked:
+        own = {t[k : k + 3] for k in range(len(t) - 2)} if t else set()
+        best = sorted((-round(len(own & s) / max(1, len(own | s)), 9), i) for i, s in sets.items() if own & s)[:3]
+        want += [(q, i, n) for n, (_, i) in enumerate(best, 1)]
+    got = grams.topk(spark.createDataFrame(asked, "item_id long, t string"), spark.createDataFrame(docs, "doc_id long, t string").repartition(3), "item_id", "doc_id", n=3).collect()
+    assert sorted((x.item_id, x.doc_id, x["rank"]) for x in got) == sorted(want)
+
+
+def test_hamming_topk_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "QUERY_ROWS", 4)
+    r = np.random.default_rng(6)
+    hs = [int(x) for x in r.integers(-(2**63), 2**63 - 1, 60)] + [-1, 0, -1]
+    df = spark.createDataFrame(list(enumerate(hs)), "doc_id long, simhash long").repartition(3)
+    q = df.where("doc_id % 6 = 0").withColumnRenamed("doc_id", "item_id")
+    got = {(x.item_id, x["rank"]): (x.doc_id, x.distance) for x in simhash.topk(q, df, "item_id", "doc_id", k=5).collect()}
+    for i in range(0, 63, 6):
+        best = sorted((bin((hs[i] ^ h) & (1 << 64) - 1).count("1"), j) for j, h in enumerate(hs))[:5]
+        assert [got[i, n] for n in range(1, 6)] == [(j, d) for d, j in best]
+
+
+def test_bm25_without_broadcast(spark, monkeypatch):
+    corpus = spark.createDataFrame([(k, " ".join("abcdefgh"[(k * j) % 8] for j in range(1, k + 2))) for k in range(30)], "b_id long, t string")
+    asked = spark.createDataFrame([(0, "a b b"), (1, "h"), (2, "z")], "a_id long, t string")
+    run = lambda: sorted((x.a_id, x.b_id, round(x.score, 9), x.common, x.terms) for x in bm25.scores(asked, corpus, "a_id", "b_id", F.col("t"), F.col("t")).collect())
+    want = run()
+    monkeypatch.setattr(bm25, "ASKED_AT_ONCE", 0)
+    assert run() == want and {x[0] for x in want} == {0, 1}
+
+
 def test_candidates(spark):
     lists = [spark.createDataFrame([(0, b, n) for n, b in enumerate(x, 1)], "a long, b long, rank int") for x in ([7, 90], [3, 7], [60])]
     assert sorted(r.b for r in candidates.union_cut(lists, "a", "b", 3).collect()) == [3, 7, 60]

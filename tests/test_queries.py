@@ -12,16 +12,12 @@ from .compare import connection, difference
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-#: Their SQL takes long, and the checks of larger tables hold them to it; here they only have to run.
-SLOW = {n for n, q in queries.ORACLE_SQL.items() if "hd AS" in q}
-
-
 @pytest.fixture(scope="module")
 def con():
     return connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, con, name):
     df = queries.QUERIES[name](spark, SF)
     if name in queries.ORACLE_SQL:
