@@ -1,34 +1,51 @@
 """Operator 8, information-theoretic sanitisation of personal data.
 
 Base spans: e-mail addresses, IP addresses, card and phone numbers, each kind leftmost and without overlaps of its own.
-Then terms that reveal them: in a corpus of N words, with n_k words in the windows of ``WINDOW`` words to each side of the entities of
-kind k, a term t disclosed by PMI(t; k) / IC(k), where PMI = log(N n_tk / (n_t n_k)) and IC = -log(n_k / N). A term
-exceeding ``DISCLOSURE`` for a kind, in ``SUPPORT`` different windows or more, is a span of
-kind ``term`` wherever it stands in a window of an entity of that kind. ``sanitised`` replaces entities by their kind and removes terms.
-All four counts are of occurrences in all documents, copies included, a word next to several entities of a kind once for that kind; for the support
-alone, windows with the same entity and the same words, as of copies, count once.
+Then terms that reveal them, by co-occurrence over all documents. A term is a lower-cased word, or a word with digits generalised to its
+shape ("#9:16" sixteen digits, "#x:40" forty letters and digits), outside entities. It discloses a kind k by PMI(t; k) / IC(k), and
+exceeds the threshold at ``DISCLOSURE`` or more. Two scopes are estimated:
+
+* Windows: of N words, n_k stand among the ``WINDOW`` words to each side of the entities of kind k (line ends don't matter);
+  PMI = log(N n_tk / (n_t n_k)), IC = -log(n_k / N). All counts are of occurrences, copies included, a word next to several entities of a kind
+  once for that kind. A term needs ``SUPPORT`` windows with different entities or words. It is revealing in a window of an entity of that kind.
+* Documents: the same with documents that hold an entity of kind k, or of any kind, in place of windows. Of documents with equal sets of entities one
+  counts, that with the smallest hash of its text, and of equal texts without entities one, as copies say nothing new. A term needs ``SUPPORT`` documents, and more than chance would give any of the
+  V terms if the entities were shuffled over the documents: by Chernoff's bound, n_t KL(n_tk / n_t || n_k / N) >= log(V / ``CHANCE``). It is
+  revealing wherever it stands, in documents without an entity too: it tells that there is or was personal data.
+
+Revealing terms are spans of kind ``term``. ``sanitised`` replaces entities by their kind, removes revealing words, and generalises revealing
+words with digits to "[CODE]".
 
 Nulls and empties: a null text is empty and has no spans; a null identifier is kept as null; repeated rows give a row each; an
-empty table gives no rows; columns other than the text aren't read."""
+empty table gives no rows; columns other than the text aren't read. Very long texts are read whole. Ties: spans that start
+together stand in the order email, ip, card, phone, term."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT, DISCLOSURE = 3, 8, 0.8
+WINDOW, SUPPORT, DISCLOSURE, CHANCE = 3, 8, 0.8, 1e-3
+#: Scopes: a term is revealing near an entity of kind 0 to 3, or, as kind ANYWHERE, wherever it stands.
+ANY, ANYWHERE = 4, 5
+#: One of so many texts is read first, for a bound that rules most terms out.
+PART = 8
 #: Terms that may reach SUPPORT are collected if they are so many at most; more are counted by a join.
 TERMS_AT_ONCE = 200_000
 
@@ -38,7 +55,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -82,79 +100,227 @@ def entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
-def around(text: str, found: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[int, list[tuple[str, int, int]]]]:
-    """For each entity its kind and the (lower-cased word, start, end) of the words next to it on its line, outside all entities."""
+def term_of(word: str) -> str:
+    """The term a word stands for: itself, lower-cased, or its shape if it has digits."""
+    if not _DIGIT.search(word):
+        return word.lower()
+    return f"#9:{len(word)}" if word.isdigit() else f"#x:{len(word)}"
+
+
+def said(text: str) -> list[str]:
+    """The terms of all words of a text."""
+    words = _WORD.findall(text)
+    return list(map(term_of if _DIGIT.search(text) else str.lower, words))
+
+
+def terms_in(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words outside all entities."""
+    edges: list[list[int]] = []  # the entities, merged where they overlap
+    for s, e, _ in found:
+        if edges and s <= edges[-1][1]:
+            edges[-1][1] = max(edges[-1][1], e)
+        else:
+            edges.append([s, e])
+    k = 0
+    for m in _WORD.finditer(text):
+        while k < len(edges) and edges[k][1] <= m.start():
+            k += 1
+        if k == len(edges) or m.end() <= edges[k][0]:
+            yield term_of(m[0]), m.start(), m.end()
+
+
+def around(found: list[tuple[int, int, int]], words: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[int, list[tuple[str, int, int]]]]:
+    """For each entity its kind and the words (term, start, end) next to it, of those outside all entities."""
+    starts, ends = [w[1] for w in words], [w[2] for w in words]
     out = []
-    reach = 40 * window
     for start, end, kind in found:
-        left = text[max(0, start - reach) : start].rpartition("\n")[2]
-        right = text[end : end + reach].partition("\n")[0]
-        words = [(m[0].lower(), start - len(left) + m.start(), start - len(left) + m.end()) for m in _WORD.finditer(left)][-window:]
-        words += [(m[0].lower(), end + m.start(), end + m.end()) for m in _WORD.finditer(right)][:window]
-        out.append((kind, [w for w in words if all(w[2] <= s or w[1] >= e for s, e, _ in found)]))
+        left, right = bisect_right(ends, start), bisect_left(starts, end)
+        out.append((kind, words[max(0, left - window) : left] + words[right : right + window]))
     return out
 
 
+def _hash(text: str) -> int:
+    """A 64-bit key; that of the empty text stands for all words, or for the document itself."""
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _rows(rows, schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _listed(terms: DataFrame):
+    """The distinct terms, broadcast, or None if they are over TERMS_AT_ONCE."""
+    names = terms.select("term").distinct()
+    return terms.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in names.collect()) if names.count() <= TERMS_AT_ONCE else None)
+
+
+def _disclosed(n_tk, n_t, n_k, total):
+    """PMI over information content."""
+    return F.log(total * n_tk / (n_t * n_k)) / -F.log(n_k / total)
+
+
 def revealing(docs: DataFrame, text_col: str = "text", window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(kind, term) of the terms that exceed the threshold, from counts over all documents."""
+    """(kind, term) of the terms that exceed the threshold, from counts over all documents: kind 0 to 3 in windows, ANYWHERE in documents."""
     common.small_batches(docs.sparkSession)
     narrow = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marks = pa.schema([("kind", pa.int32()), ("term", pa.string()), ("place", pa.int64()), ("n", pa.int64())])
+    marks = pa.schema([("kind", pa.int32()), ("term", pa.string()), ("place", pa.int64()), ("n", pa.int64()), ("h", pa.int64())])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row for each term of a window, with its occurrences; and, of kind -1, one for each document with entities: all its terms, its set of entities, its kinds as bits.
         common.begin()
         for batch in batches:
             for part in common.slices(batch, "text"):
                 own: Counter = Counter()
+                rows: list[tuple] = []
                 for text in common.texts_of(part.column("text")):
+                    if not (found := entities(text)):
+                        continue
                     counted: set[tuple[int, int]] = set()
-                    found = entities(text)
-                    for (start, end, _), (kind, words) in zip(found, around(text, found, window), strict=True):
-                        place = xxhash.xxh3_64_intdigest("\n".join([text[start:end], *(w for w, _, _ in words)]).encode("utf-8", "surrogatepass")) - (1 << 63)
-                        for w, at, _ in words:
+                    words = list(terms_in(text, found))
+                    for (start, end, _), (kind, close) in zip(found, around(found, words, window), strict=True):
+                        place = _hash("\n".join([text[start:end], *(w for w, _, _ in close)]))
+                        for w, at, _ in close:
                             own[kind, w, place] += (kind, at) not in counted
                             counted.add((kind, at))
-                if own:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*own, strict=True), marks)), pa.array(own.values(), pa.int64())], schema=marks)
-
-    # A row for each term of each different window, with its occurrences; the words of a kind's windows are n_k.
-    seen = narrow.mapInArrow(near, "kind int, term string, place long, n long").groupBy("kind", "term", "place").agg(F.sum("n").alias("n"))
-    every = common.written(seen.groupBy("kind", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_tk")), "windows")
-    by_kind = {r["kind"]: r["n"] for r in every.groupBy("kind").agg(F.sum("n_tk").alias("n")).collect()}  # four at most
-    by_term = every.where((F.col("support") >= support) & (F.col("n_tk") > 0)).select("kind", "term", "n_tk")
-    terms = common.written(by_term, "terms")
-    if not (count := terms.select("term").distinct().count()):
-        return terms.select("kind", "term")
-    listed = frozenset(r["term"] for r in terms.select("term").distinct().collect()) if count <= TERMS_AT_ONCE else None
-    shared = docs.sparkSession.sparkContext.broadcast(listed)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    unit = _hash("\n".join(sorted({text[s:e] for s, e, _ in found})))
+                    rows.append((-1, "\n".join(sorted({w for w, _, _ in words})), unit, sum(1 << k for k in {k for *_, k in found}), _hash(text)))
+                if rows:
+                    yield _rows(rows + [(*k, n, None) for k, n in own.items()], marks)
+
+    seen = common.written(narrow.mapInArrow(near, "kind int, term string, place long, n long, h long"), "seen")
+    each = seen.where("kind >= 0").groupBy("kind", "term", "place").agg(F.sum("n").alias("n"))
+    windows = common.written(each.groupBy("kind", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_tk")), "windows")
+    by_kind = {r["kind"]: float(r["n"]) for r in windows.groupBy("kind").agg(F.sum("n_tk").alias("n")).collect()}  # four at most
+    windows = common.written(windows.where((F.col("support") >= support) & (F.col("n_tk") > 0)).select("kind", "term", "n_tk"), "windows")
+    # Of the documents with one set of entities, that with the smallest hash of its text.
+    units = seen.where("kind = -1").groupBy("place").agg(F.min_by(F.struct("n", "term"), "h").alias("one")).select("one.n", "one.term")
+    shape = pa.schema([("term", pa.string()), *((f"n{k}", pa.int64()) for k in range(ANY + 1))])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The empty term stands for the document itself.
+        common.begin()
+        own: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for bits, terms in zip(batch.column("n").to_pylist(), batch.column("term").to_pylist(), strict=True):
+                one = np.array([*(bits >> k & 1 for k in range(ANY)), 1])
+                for w in {"", *terms.split("\n")}:
+                    own[w] = own[w] + one if w in own else one
+                if len(own) > 50_000:
+                    yield _rows([(w, *n.tolist()) for w, n in own.items()], shape)
+                    own = {}
+        if own:
+            yield _rows([(w, *n.tolist()) for w, n in own.items()], shape)
+
+    names = [f"n{k}" for k in range(ANY + 1)]
+    found = units.mapInArrow(held, "term string, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
+    found = common.written(found.where(F.col(f"n{ANY}") >= support), "found")
+    whole = found.where("term = ''").first()
+    u = [float(whole[c]) if whole else 0.0 for c in names]
+    terms = found.where("term != ''")
+    tried = terms.count()
+    if tried:
+        # A term can't exceed the threshold if the documents without entities in a part of the corpus, picked by hash, already hold it too often: the share of
+        # kind k must be p ** (1 - disclosure), and p is u / rows at least. What is left is counted in all documents.
+        part = _counted(narrow.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), terms, terms.where("false"))
+        most = float(narrow.count() + u[ANY] + 1)
+        met = terms.join(part.select("key", F.col("clean").alias("some")), _key("term") == F.col("key"), "left")
+        can = [F.col(f"n{k}") >= support for k in range(ANY + 1)]
+        can = [c & (F.col(f"n{k}") >= (F.col(f"n{ANY}") + F.coalesce("some", F.lit(0))) * float((max(u[k], 1.0) / most) ** (1 - disclosure)) * (1 - 1e-9)) for k, c in enumerate(can)]
+        terms = common.written(met.where(reduce(Column.__or__, can)).select("term", *names), "possible")
+    counts = _counted(narrow, terms, windows.select("term").distinct())
+    all_words = counts.where(F.col("key") == _hash("")).first()
+    total, clean = (float(all_words["n_t"]), all_words["clean"]) if all_words else (0.0, 0)
+    n_k = F.element_at(F.create_map(*[F.lit(x) for k in range(ANY) for x in (k, by_kind.get(k, 1.0))]), F.col("kind"))
+    near_by = windows.join(counts, _key("term") == F.col("key")).where(_disclosed(F.col("n_tk"), F.greatest("n_t", "n_tk"), n_k, F.lit(total + 1)) >= disclosure)
+    n_docs = F.lit(u[ANY] + clean + 1)
+    met = terms.join(counts, _key("term") == F.col("key"))
+    sure = F.lit(False)
+    for k in range(ANY + 1):
+        n_t, p = F.col(f"n{ANY}") + F.col("clean"), F.lit(max(u[k], 1.0)) / n_docs
+        q = F.col(f"n{k}") / n_t
+        kl = n_t * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0))
+        sure |= (F.col(f"n{k}") >= support) & (q > p) & (kl >= math.log(max(1, tried) / CHANCE)) & (_disclosed(F.col(f"n{k}"), n_t, F.lit(max(u[k], 1.0)), n_docs) >= disclosure)
+    return near_by.select("kind", "term").unionByName(met.where(sure).select(F.lit(ANYWHERE).alias("kind"), "term"))
+
+
+def _key(term: str) -> Column:
+    """The key of a term, as ``_counted`` has it."""
+
+    @F.pandas_udf("long")
+    def keys(s: pd.Series) -> pd.Series:
+        return s.map(_hash)
+
+    return keys(F.col(term))
+
+
+def _counted(texts: DataFrame, terms: DataFrame, words: DataFrame) -> DataFrame:
+    """(key, n_t, clean), written: of ``words`` the occurrences, of ``terms`` the different documents without entities that hold them. The key of the empty text
+    has the number of all words and of all different documents without entities."""
+    known, counted = _listed(terms), _listed(words)
+    schema = pa.schema([("h", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Part -1: a document without entities, by the hash of its text, with the keys of its terms. Other parts: occurrences, summed over some batches.
+        common.begin()
         own: Counter = Counter()
-        total, known = 0, shared.value
+        total, seq, part_id = 0, 0, TaskContext.get().partitionId()
+        picked = lambda xs, of: xs if of.value is None else filter(of.value.__contains__, xs)
+
+        def sums() -> tuple:
+            return seq, part_id, np.array([_hash(w) for w in own], "<i8").tobytes(), np.array(list(own.values()), "<i8").tobytes()
+
         for batch in batches:
             for part in common.slices(batch, "text"):
+                rows: list[tuple] = []
                 for text in common.texts_of(part.column("text")):
-                    found = _WORD.findall(text.lower())
-                    total += len(found)
-                    own.update(found if known is None else filter(known.__contains__, found))
-            if len(own) > TERMS_AT_ONCE:
-                yield pa.RecordBatch.from_pydict({"term": list(own), "n": list(own.values())})
-                own = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array([None, *own], pa.string()), pa.array([total, *own.values()], pa.int64())], names=["term", "n"])
+                    spoken = said(text)
+                    total += len(spoken)
+                    own.update(picked(spoken, counted))
+                    if not entities(text):
+                        rows.append((_hash(text), -1, np.array([_hash(w) for w in {"", *picked(spoken, known)}], "<i8").tobytes(), None))
+                if len(own) > 50_000:
+                    rows.append(sums())
+                    own, seq = Counter(), seq + 1
+                if rows:
+                    yield _rows(rows, schema)
+        own[""] += total
+        yield _rows([sums()], schema)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin()
+        n_t: Counter = Counter()
+        clean: list[np.ndarray] = []
 
-    counts = common.written(narrow.mapInArrow(words, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")), "words")
-    total = counts.where("term is null").first()["n_t"]
-    n_k = F.element_at(F.create_map(*[F.lit(x) for kv in by_kind.items() for x in kv]), F.col("kind"))
-    pmi = F.log(F.lit(float(total)) * F.col("n_tk") / (F.greatest("n_t", "n_tk") * n_k))
-    return terms.join(counts, "term").where(pmi / -F.log(n_k / F.lit(float(total) + 1)) >= disclosure).select("kind", "term")
+        def rows() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(clean) if clean else np.empty(0, np.int64), return_counts=True)
+            key, n = np.concatenate([key, np.fromiter(n_t, np.int64, len(n_t))]), np.concatenate([n, np.zeros(len(n_t), np.int64)])
+            return pa.RecordBatch.from_pydict({"key": key, "n_t": np.concatenate([np.zeros(len(key) - len(n_t), np.int64), np.fromiter(n_t.values(), np.int64, len(n_t))]), "clean": n})
 
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if counts is None:
+                    clean.append(np.frombuffer(keys, "<i8"))
+                else:
+                    for k, n in zip(np.frombuffer(keys, "<i8").tolist(), np.frombuffer(counts, "<i8").tolist(), strict=True):
+                        n_t[k] += n
+            if sum(map(len, clean)) > 1_000_000 or len(n_t) > 100_000:
+                yield rows()
+                n_t, clean = Counter(), []
+        yield rows()
 
-OWN = "__tessera_terms__"
+    once = texts.mapInArrow(read, "h long, part long, keys binary, counts binary").groupBy("h", "part").agg(F.first("keys").alias("keys"), F.first("counts").alias("counts"))
+    sums = once.select("keys", "counts").mapInArrow(tally, "key long, n_t long, clean long").groupBy("key").agg(F.sum("n_t").alias("n_t"), F.sum("clean").alias("clean"))
+    return common.written(sums, "counted")
+
+
+OWN, OWN_HASH = "__tessera_pii_terms__", "__tessera_pii_hash__"
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame, text_col: str):
     """What tells a task the revealing terms: one broadcast set if they are TERMS_AT_ONCE at most, or else a column with
-    the terms of each document that has entities, joined to it by the hash of its text."""
+    the terms of each document that has some, joined to it by the hash of its text."""
     terms = common.written(terms, "revealing")
     spark = docs.sparkSession
     if terms.count() <= TERMS_AT_ONCE:
@@ -162,20 +328,22 @@ def _with_terms(docs: DataFrame, terms: DataFrame, text_col: str):
     schema = pa.schema([("h", pa.int64()), ("kind", pa.int32()), ("term", pa.string())])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin()
         for batch in batches:
             for part in common.slices(batch, "text"):
-                rows = []
+                rows: list[tuple] = []
                 for h, text in zip(part.column("h").to_pylist(), common.texts_of(part.column("text")), strict=True):
                     found = entities(text)
-                    rows += {(h, kind, w) for kind, words in around(text, found) for w, _, _ in words}
+                    words = list(terms_in(text, found))
+                    rows += {(h, kind, w) for kind, close in around(found, words) for w, _, _ in close} | {(h, ANYWHERE, w) for w, _, _ in words}
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield _rows(rows, schema)
 
     keyed = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
     own = keyed.mapInArrow(near, "h long, kind int, term string").distinct().join(terms, ["kind", "term"])
-    own = own.groupBy(F.col("h").alias("__tessera_h__")).agg(F.collect_set(F.concat_ws(":", "kind", "term")).alias(OWN))
-    met = docs.join(own, F.xxhash64(F.col(text_col).cast("string")) == own["__tessera_h__"], "left")
-    return met.drop("__tessera_h__"), spark.sparkContext.broadcast(None)
+    own = own.groupBy(F.col("h").alias(OWN_HASH)).agg(F.collect_set(F.concat_ws(":", "kind", "term")).alias(OWN))  # a document's own terms
+    met = docs.join(own, F.xxhash64(F.col(text_col).cast("string")) == own[OWN_HASH], "left")
+    return met.drop(OWN_HASH), spark.sparkContext.broadcast(None)
 
 
 def _terms_of(shared, own) -> frozenset:
@@ -184,12 +352,22 @@ def _terms_of(shared, own) -> frozenset:
     return frozenset((int(k), t) for k, _, t in (x.partition(":") for x in (own if own is not None else ())))
 
 
+@lru_cache(4)
+def _anywhere(terms: frozenset) -> frozenset:
+    return frozenset(t for k, t in terms if k == ANYWHERE)
+
+
 def spans(text: str, terms: frozenset, window: int = WINDOW) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The entities, and all spans (kind 4 is a term)."""
     found = entities(text)
-    if not found or not terms:
+    if not terms:
         return found, found
-    extra = {(s, e, 4) for kind, words in around(text, found, window) for w, s, e in words if (kind, w) in terms}
+    anywhere = _anywhere(terms)
+    if not found and (not anywhere or anywhere.isdisjoint(said(text))):
+        return found, found
+    words = list(terms_in(text, found))
+    extra = {(s, e, 4) for kind, close in around(found, words, window) for w, s, e in close if (kind, w) in terms}
+    extra |= {(s, e, 4) for w, s, e in words if w in anywhere}
     return found, sorted({*found, *extra}, key=lambda x: (x[0], x[2]))
 
 
@@ -198,32 +376,33 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms and n_spans (the terms, and all spans)."""
     common.small_batches(docs.sparkSession)
     docs, shared = _with_terms(docs, revealing(docs, text_col) if terms is None else terms, text_col)
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_terms", pa.int64()), ("n_spans", pa.int64())])
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin()
         for batch in batches:
             for part in common.slices(batch, "text"):
                 rows = []
                 for doc, text, own in zip(part.column("doc_id").to_pylist(), common.texts_of(part.column("text")), part.column("own").to_pylist(), strict=True):
                     base, every = spans(text, _terms_of(shared, own))
                     n = np.bincount([k for _, _, k in base], minlength=4).tolist() if base else [0] * 4
-                    rows.append((doc, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows.append((doc, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base), len(every)))
+                yield _rows(rows, schema)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(OWN).alias("own"))
-    return narrow.mapInArrow(tell, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return narrow.mapInArrow(tell, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long, n_spans long")
 
 
 def mask(text: str, terms: frozenset) -> str:
-    """Entities become [KIND]; revealing terms go. Overlapping entities become one."""
+    """Entities become [KIND], revealing words with digits [CODE]; other revealing words go. Overlapping entities become one."""
     _, every = spans(text, terms)
     out, at = [], 0
     for s, e, k in every:
         if s >= at:
-            out += [text[at:s], "" if k == 4 else f"[{KINDS[k].upper()}]"]
+            out += [text[at:s], f"[{KINDS[k].upper()}]" if k < 4 else "[CODE]" if _DIGIT.search(text, s, e) else ""]
         at = max(at, e)
     return "".join([*out, text[at:]])
 
