@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import re
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of the similarity operators: runs of Unicode letters, digits and underscores.
 WORD = re.compile(r"\w+")
@@ -42,6 +44,8 @@ def scratch_root(spark: SparkSession) -> str:
     local tests, a temporary folder of this machine is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -63,14 +67,83 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Deletes the scratch tables made so far. Call it once results that read them have been written."""
-    keep = set(keep)
+#: Rows of the small side of a join that are broadcast whole, slim ones of 100 bytes or so.
+JOIN_AT_ONCE = 200_000
+#: Beyond that, keys with more than one of HOT_SHARE of all rows, and HOT_ROWS rows at least, are broadcast; there are fewer than HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def hot_join(rows: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``small`` on ``key``, where ``small`` has a row per key and says in ``count`` how many of the rows have it. Rows of
+    hot keys stay where they are; the others are shuffled, if the small side isn't broadcast whole. Both are read more than once, so they should be written tables."""
+    one = small.agg(F.sum(count), F.count("*")).first()
+    if one[1] <= JOIN_AT_ONCE:
+        return rows.join(F.broadcast(small), key)
+    is_hot = (F.col(count) > HOT_ROWS) & (F.col(count) * HOT_SHARE > F.lit(one[0]))
+    hot, cold = small.where(is_hot), small.where(~is_hot)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")  # fewer than HOT_SHARE rows
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
+def made() -> list[str]:
+    """The scratch paths that aren't deleted yet."""
+    return list(_made)
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes scratch paths: call it once the results that read them have been written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in [p for p in _made if p not in keep]:
+    for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-        _made.remove(path)
+        if path in _made:
+            _made.remove(path)
+
+
+@atexit.register
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        release(spark, made())
+
+
+def filesystem(uri: str):
+    """(file system, path) of a folder in the shared store; Spark's ``file:/x`` form is taken too."""
+    from pyarrow import fs
+
+    if ":" not in uri.split("/")[0]:
+        return fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+@contextlib.contextmanager
+def attempt(folder: str, name: str, suffix: str) -> Iterator[tuple]:
+    """(path, open stream) of a file of this attempt of a task: attempts never meet, and the manifest names those that
+    counted. The file of an attempt that fails is deleted."""
+    store, top = filesystem(folder)
+    path = f"{top}/{name}-{uuid.uuid4().hex}{suffix}"
+    sink = store.open_output_stream(path)
+    try:
+        yield path, sink
+        sink.close()
+    except BaseException:
+        with contextlib.suppress(Exception):
+            sink.close()
+            store.delete_file(path)
+        raise
+
+
+def tidy(folder: str, keep: Iterable[str]) -> None:
+    """Deletes the files of attempts that didn't count, as of speculative tasks."""
+    from pyarrow import fs
+
+    store, top = filesystem(folder)
+    names = {k.rsplit("/", 1)[-1] for k in keep}
+    for info in store.get_file_info(fs.FileSelector(top)):
+        if info.is_file and info.base_name not in names:
+            store.delete_file(info.path)
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -20,7 +20,11 @@ component is compared whether it shares a band or not.
 Nulls and empties: null texts are empty. A text of fewer than five words has one shingle, all its words; a text without
 words but not blank has itself as its shingle; a blank text has none, is similar to nothing, and is a class of
 its own (class_id is its identifier). Null identifiers are ignored for class_id unless a class has no other. Repeated rows are copies
-and count as links of each other. An empty table gives no rows. Columns other than identifier and text aren't read."""
+and count as links of each other. An empty table gives no rows. Columns other than identifier and text aren't read. Very long texts are read whole;
+their blocks have fewer nodes. Ties: a class is named, and represented, by its smallest identifier, then by the smallest hash of the text.
+
+Hot keys (a band, the centre of a star, a component, a class or a text that more than one of ``common.HOT_SHARE`` rows have) aren't shuffled to one task:
+``common.hot_join`` leaves their rows where they are. A component of n nodes ships each node's set once per block, n / ``BLOCK`` times."""
 
 from __future__ import annotations
 
@@ -32,7 +36,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,11 +44,12 @@ from . import common
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
 STEP, TOLERANCE = 30, 1e-6
-BLOCK = 512
-#: Documents that go are broadcast, as two numbers each, if they are so many at most; more are joined by a shuffle.
+#: Nodes of a block at most; in the exact comparison a block has BLOCK * BLOCK_SHINGLES shingles at most too, or one node's.
+BLOCK, BLOCK_SHINGLES = 512, 2048
+#: Documents are broadcast, as a number or two each, to be picked out or dropped, if they are so many at most; more are joined by a shuffle.
 GONE_AT_ONCE = 1_000_000
 #: A name that no column of a table has.
-OWN = "__tessera__"
+OWN = "__tessera_jaccard__"
 
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,19 +159,21 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (a hash of the text), node (the digest of the shingle set; null for a blank text), sig (MinHash
+    """doc_id, h (a hash of the text), node (the digest of the shingle set; null for a blank text), n (its shingles), sig (MinHash
     values, 16 bits each), bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin(common.HASHES)
         for batch in batches:
             for part in common.slices(batch, "text"):
                 nodes: list[bytes | None] = []
+                counts: list[int] = []
                 sigs = np.zeros((part.num_rows, BANDS * ROWS), np.uint32)
                 for r, text in enumerate(common.texts_of(part.column("text"))):
                     sh = shingles(text)
                     nodes.append(xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None)
+                    counts.append(len(sh))
                     if len(sh):
                         sigs[r] = minhash(sh)
                 keys = np.zeros((part.num_rows, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
@@ -174,11 +181,11 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     keys = common.mix(keys ^ sigs[:, k::ROWS][:, :BANDS].astype(np.uint64)) * np.uint64(0xE7037ED1A0B428DB)
                 raw = sigs.astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("h"), pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in raw], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))],
+                    [part.column("doc_id"), part.column("h"), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in raw], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))],
                     schema=schema,
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, h long, node binary, sig binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, h long, node binary, n long, sig binary, bands array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], heavy: str) -> Iterator[dict[str, list]]:
@@ -204,11 +211,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], heavy: str) -> I
         yield held
 
 
-def _blocks(members: DataFrame, group: str, size: str, block: int) -> DataFrame:
-    """Deals the members of each group into blocks and repeats each for every two blocks that meet (_p <= _q)."""
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(F.lit(1), F.ceil(F.col(size) / block))).cast("int")
-    dealt = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), (F.greatest(F.lit(1), F.ceil(F.col(size) / block)) - 1).cast("int"))))
-    return dealt.withColumn("_p", F.least("_own", "_other")).withColumn("_q", F.greatest("_own", "_other")).drop("_other")
+def _blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Deals the members of each group into its number of blocks and repeats each for every two blocks that meet (_p <= _q): once per block."""
+    met = members.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    return met.withColumn("_p", F.least("_own", "_other")).withColumn("_q", F.greatest("_own", "_other")).drop("_other")
 
 
 def _sides(own: list[int], p: int, q: int) -> tuple[list[int], list[int], bool]:
@@ -226,8 +232,9 @@ def components(edges: DataFrame) -> DataFrame:
             near = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             near = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = near.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-        met = near.join(low, "u")
+        low = near.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("u", "low"))
+        low = common.written(low, "low")
+        met = common.hot_join(near, low, "u", "n")  # the centre of a star may have a third of all edges
         if large:
             moved = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         else:
@@ -240,7 +247,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.written(edges.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "edges")
     seen = mark(now)
     while True:
-        now = common.written(stars(stars(now, True), False), "edges")
+        now = common.written(stars(common.written(stars(now, True), "edges"), False), "edges")
         if (then := mark(now)) == seen:
             break
         seen = then
@@ -251,8 +258,8 @@ def components(edges: DataFrame) -> DataFrame:
 def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
     """Spanning forests (u, v) of the pairs that share a band and survive the pruning."""
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = _blocks(rows.join(full, "band"), "band", "n", block)
+    full = common.written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    dealt = _blocks(common.hot_join(rows, full, "band", "n"), F.ceil(F.col("n") / block))
     met = dealt.groupBy("band", "_p", "_q").agg(F.sort_array(F.collect_list(F.struct("node", "_own"))).alias("members"))  # 2 * block at most, about
     met = met.where(F.size("members") > 1).withColumn("_set", F.xxhash64("members", "_p", "_q")).groupBy("_set").agg(F.first("members").alias("members"), F.first("_p").alias("_p"), F.first("_q").alias("_q"))
     out = met.select("_set", "_p", "_q", F.explode("members").alias("m")).select("_set", "_p", "_q", "m.node", "m._own").join(nodes.select("node", "sig"), "node")
@@ -282,10 +289,10 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block:
     return out.repartition("_set").sortWithinPartitions("_set").mapInArrow(compare, "u binary, v binary")
 
 
-def exact_links(members: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
-    """members: root, size (nodes of the component), node, copies, text. Returns node, links (documents of other
+def exact_links(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """members: root, blocks (of the component), node, copies, text. Returns node, links (documents of other
     nodes that it is linked to) and to (a linked node, or itself), several rows a node where a component has several blocks."""
-    shape = pa.schema([("root", pa.binary()), ("size", pa.int64()), ("node", pa.binary()), ("copies", pa.int64()), ("sh", pa.binary())])
+    shape = pa.schema([("root", pa.binary()), ("blocks", pa.int64()), ("node", pa.binary()), ("copies", pa.int64()), ("sh", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin(common.HASHES)
@@ -294,7 +301,7 @@ def exact_links(members: DataFrame, threshold: float, tolerance: float, block: i
                 sh = [shingles(t).tobytes() for t in common.texts_of(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in shape.names[:4]), pa.array(sh, pa.binary())], schema=shape)
 
-    sets = members.mapInArrow(cut, "root binary, size long, node binary, copies long, sh binary")
+    sets = members.mapInArrow(cut, "root binary, blocks long, node binary, copies long, sh binary")
     schema = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("to", pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +330,7 @@ def exact_links(members: DataFrame, threshold: float, tolerance: float, block: i
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    dealt = _blocks(sets, "root", "size", block)
+    dealt = _blocks(sets, F.col("blocks"))
     return dealt.repartition("root", "_p", "_q").sortWithinPartitions("root", "_p", "_q", "node").mapInArrow(compare, "node binary, links long, to binary")
 
 
@@ -337,39 +344,54 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
     """As ``join``, with h (a hash of the text) and label (of the class; null for a blank text)."""
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = common.written(sketches(docs), "sketches")
-    by_node = known.where(F.col("node").isNotNull()).groupBy("node")
-    nodes = common.written(by_node.agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h")).alias("one"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    known = common.written(sketches(docs).withColumn("k", F.xxhash64("doc_id", "h")), "sketches")
+    there = known.where(F.col("node").isNotNull())
+    nodes = common.written(there.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "h", "k")).alias("one"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     comps = components(candidate_edges(nodes.select("node", "sig", "bands"), threshold, tolerance, block))
-    sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
-    placed = comps.join(sizes, "root").join(nodes.select("node", "copies", "one"), "node")
+    same = there.groupBy("k").agg(F.count("*").alias("same"))
+    placed = common.written(comps.join(nodes.select("node", "copies", "one", "n"), "node").withColumn("k", F.col("one.k")).join(same, "k"), "placed")
+    blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("n") / (block * BLOCK_SHINGLES)))
+    sizes = common.written(placed.groupBy("root").agg(F.count("*").alias("size"), blocks.cast("long").alias("blocks")), "sizes")
+    placed = common.written(common.hot_join(placed.drop("n"), sizes, "root", "size"), "placed")
     # The text of each node: that of one of its rows, known by identifier and hash (identifiers may repeat or be null).
-    there = docs.withColumn("h", F.xxhash64("text"))
-    members = there.join(placed, there["doc_id"].eqNullSafe(F.col("one.doc_id")) & (there["h"] == F.col("one.h"))).select("root", "size", "node", "copies", "text").dropDuplicates(["node"])
-    found = common.written(exact_links(members, threshold, tolerance, block), "links")
+    texts = docs.withColumn("h", F.xxhash64("text")).withColumn("k", F.xxhash64("doc_id", "h"))
+    if placed.count() <= GONE_AT_ONCE:
+        texts = texts.join(F.broadcast(placed.select("k")), "k", "left_semi")  # eight bytes each
+    found = common.hot_join(texts, placed, "k", "same").where(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("h") == F.col("one.h")))
+    members = found.select("root", "blocks", "node", "copies", "text").dropDuplicates(["node"])
+    found = common.written(exact_links(members, threshold, tolerance), "links")
     # Components of one block have their classes already; those of several are joined by their forests.
     labels = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     by = common.written(nodes.select("node", "copies", "low").join(links, "node", "left").join(labels, "node", "left").select("node", "copies", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("label")), "classes")
-    lows = by.groupBy("label").agg(F.min("low").alias("class_id"))
-    named = by.join(lows, "label").select("node", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return known.select("doc_id", "h", "node").join(named, "node", "left").select("doc_id", "h", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    lows = common.written(by.groupBy("label").agg(F.min("low").alias("class_id"), F.count("*").alias("members")), "lows")
+    named = common.hot_join(by, lows, "label", "members").select("node", "label", "class_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    named = common.written(named, "named")
+    out = common.hot_join(there.select("doc_id", "h", "node"), named, "node", "copies").select("doc_id", "h", "label", "class_id", F.col("n_links").cast("long").alias("n_links"))
+    blank = known.where(F.col("node").isNull())
+    return out.unionByName(blank.select("doc_id", "h", F.lit(None).cast("binary").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The documents with one of each class: the one with the smallest identifier, then the smallest hash of its text;
     of rows that repeat both, one. Blank texts are classes of their own and stay."""
-    from pyspark.sql import Window
-
     rows = common.written(labelled(docs, **how).where("label is not null").select("label", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h").alias("row")), "rows")
-    chosen = rows.groupBy("label").agg(F.min("row").alias("first"))
-    met = rows.join(chosen, "label")
+    chosen = common.written(rows.groupBy("label").agg(F.min("row").alias("first"), F.count("*").alias("members")), "chosen")
+    met = common.hot_join(rows, chosen, "label", "members")
     gone = common.written(met.where("row != first").select(F.col("row.doc_id").alias(OWN), F.col("row.h").alias(OWN + "h")).distinct(), "gone")
-    size = gone.count()
-    listed = F.broadcast(gone) if size <= GONE_AT_ONCE else gone
-    kept = docs.join(listed, docs["doc_id"].cast("long").eqNullSafe(gone[OWN]) & (F.xxhash64(docs["text"].cast("string")) == gone[OWN + "h"]), "left_anti")
-    if met.where("row = first").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        # Rows that repeat identifier and text; blank ones aren't touched.
-        once = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
-        kept = kept.withColumn(OWN, F.when(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\p{IsWhite_Space}\\x1c-\\x1f]+", " ")) == "", F.lit(1)).otherwise(once)).where(F.col(OWN) == 1).drop(OWN)
-    return kept
+    kept = _without(docs, gone, "left_anti")
+    # Rows that repeat identifier and text: one of them, with the smallest hash of all its columns. Blank texts aren't touched.
+    again = met.where("row = first").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row.doc_id").alias(OWN), F.col("row.h").alias(OWN + "h"))
+    again = common.written(again, "again")
+    if not again.limit(1).count():
+        return kept
+    names = kept.columns
+    repeated = _without(kept, again, "left_semi").groupBy(F.col("doc_id").alias(OWN), F.xxhash64(F.col("text").cast("string")).alias(OWN + "h"))
+    once = repeated.agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias(OWN + "row")).select(*[F.col(OWN + "row")[c].alias(c) for c in names])
+    return _without(kept, again, "left_anti").unionByName(once)
+
+
+def _without(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Documents whose identifier and hash of the text are among the rows (left_semi) or not (left_anti)."""
+    listed = F.broadcast(rows) if rows.count() <= GONE_AT_ONCE else rows
+    return docs.join(listed, docs["doc_id"].cast("long").eqNullSafe(rows[OWN]) & (F.xxhash64(docs["text"].cast("string")) == rows[OWN + "h"]), how)
