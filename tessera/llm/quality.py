@@ -11,7 +11,8 @@
 
 Nulls and empties: null texts are empty and judged as such; null host, path or identifier is a value like any other.
 Repeated rows count each. An empty table of documents gives no rows; without labelled rows of both kinds the evidence is 0
-and all documents are kept. Very long texts count whole. Other columns aren't read, or pass through in ``accepted``."""
+and all documents are kept. Very long texts count whole. Ties: of rows with one labelled identifier the smallest hash of the text is fitted;
+words of equal statistic go in order of the word; a posterior of exactly ``KEEP`` is kept. Other columns aren't read, or pass through in ``accepted``."""
 
 from __future__ import annotations
 
@@ -32,6 +33,8 @@ FIT_ROWS = 8192
 WORDS = 512
 KEEP = 0.5
 SITE_LIMIT = 1.0
+#: A name that no column of a table has.
+SITE = "__tessera_site__"
 _BINS = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8])
 SHAPES = ("symbols", "capitals", "bars", "repeats", "digits", "bangs", "short", "echo")
 
@@ -99,26 +102,30 @@ def _fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = WORDS) -> Model:
-    """docs: doc_id, text; labels: doc_id, quality, toxic."""
+    """docs: doc_id, text; labels: doc_id, quality, toxic. A labelled identifier counts once: as bad if any of its labels is, with the
+    text of the smallest hash if several rows have it."""
     common.small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     # At most ``rows`` rows, so that they can be broadcast.
-    chosen = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    labelled = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    labelled = common.written(labelled, "labelled")
+    chosen = common.written(docs.join(F.broadcast(labelled), "doc_id").groupBy("doc_id").agg(F.min("h").alias("h"), F.first("y").alias("y")), "chosen")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.begin(common.HASHES)
-        schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.list_(pa.int64())), ("bins", pa.list_(pa.int32()))])
+        common.begin()
+        schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("words", pa.list_(pa.string())), ("bins", pa.list_(pa.int32()))])
         for batch in batches:
             for part in common.slices(batch, "text"):
                 own = []
                 for text in common.texts_of(part.column("text")):
                     found = common.WORD.findall(text.lower())
-                    own.append((np.sort(common.word_hashes(list(set(found))).view(np.int64)).tolist(), _shape(text, found)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([o[0] for o in own], pa.list_(pa.int64())), pa.array([o[1] for o in own], pa.list_(pa.int32()))], schema=schema)
+                    own.append((sorted(set(found)), _shape(text, found)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([o[0] for o in own], pa.list_(pa.string())), pa.array([o[1] for o in own], pa.list_(pa.int32()))], schema=schema)
 
-    rowset = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y int, words array<long>, bins array<int>")
-    rowset = common.written(rowset, "fit")
+    # Rows that repeat identifier and text have the same features; partial sums leave one of them before the shuffle.
+    rowset = docs.join(F.broadcast(chosen), ["doc_id", "h"]).select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y int, words array<string>, bins array<int>")
+    rowset = common.written(rowset.groupBy("doc_id").agg(F.first("y").alias("y"), F.first("words").alias("words"), F.first("bins").alias("bins")), "fit")
     n = {r["y"]: r["n"] for r in rowset.groupBy("y").agg(F.count("*").alias("n")).collect()}
     flat = np.zeros((len(SHAPES), len(_BINS) + 1))
     if not n.get(0) or not n.get(1):
@@ -128,10 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = W
     a, b, n1, n0 = F.col("a"), F.col("b"), n[1], n[0]
     chi = (a * n0 - b * n1) ** 2 * (n1 + n0) / (F.lit(float(n1)) * n0 * (a + b) * (n1 + n0 - a - b) + 1e-9)
     top = per.where((a + b >= 3) & (a + b < n1 + n0)).withColumn("chi", chi).orderBy(F.desc("chi"), "word").limit(words)
-    chosen_words = [r["word"] for r in top.where("chi > 8").collect()]  # at most ``words``
-    at = {w: k for k, w in enumerate(sorted(chosen_words))}
-    known = F.array(*[F.lit(w) for w in sorted(chosen_words)]) if chosen_words else F.array().cast("array<long>")
-    small = rowset.select("doc_id", "y", "bins", F.array_intersect("words", known).alias("words")).orderBy("doc_id", "y").collect()  # at most ``rows`` short rows
+    chosen_words = sorted(r["word"] for r in top.where("chi > 8").collect())  # at most ``words``
+    at = {w: k for k, w in enumerate(chosen_words)}
+    known = F.array(*[F.lit(w) for w in chosen_words]).cast("array<string>")
+    small = rowset.select("doc_id", "y", "bins", F.array_intersect("words", known).alias("words")).orderBy("doc_id").collect()  # at most ``rows`` short rows
     width = len(at) + flat.size
     x, y = np.zeros((len(small), width + 1), np.float32), np.array([r["y"] for r in small], float)
     x[:, -1] = 1
@@ -141,24 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, words: int = W
     used = x.any(axis=0)
     w = np.zeros(width + 1)
     w[used] = _fit_weights(x[:, used].astype(float), y)
-    weights = {h: float(w[k]) for h, k in at.items()}
-    named = _names(docs.join(F.broadcast(chosen), "doc_id"), weights)
-    return Model(named, w[len(at) : width].reshape(flat.shape), float(w[-1]), float(np.log(n[1] / n[0])))
-
-
-def _names(docs: DataFrame, weights: dict[int, float]) -> dict[str, float]:
-    """The words behind the chosen hashes."""
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: set[str] = set()
-            for part in common.slices(batch, "text"):
-                for text in common.texts_of(part.column("text")):
-                    out.update(w for w in set(common.WORD.findall(text.lower())) if int(np.uint64(common.HASHES[w]).view(np.int64)) in weights)
-            yield pa.RecordBatch.from_pydict({"word": sorted(out)}, schema=pa.schema([("word", pa.string())]))
-
-    found = docs.select("text").mapInArrow(names, "word string").distinct().collect()  # at most as many as weights
-    return {r["word"]: weights[int(np.uint64(common.HASHES[r["word"]]).view(np.int64))] for r in found}
+    return Model({word: float(w[k]) for word, k in at.items()}, w[len(at) : width].reshape(flat.shape), float(w[-1]), float(np.log(n[1] / n[0])))
 
 
 def _logit(p):
@@ -200,29 +190,32 @@ def posteriors(scored: DataFrame, base: float) -> DataFrame:
     )
     host_mean = (F.col("hs") + F.col("kh") * F.col("g")) / (F.col("hn") + F.col("kh"))
     path_mean = (F.col("s") + F.col("kp") * F.col("host_posterior")) / (F.col("n") + F.col("kp"))
-    return within.crossJoin(F.broadcast(one)).withColumn("host_posterior", host_mean).withColumn("path_posterior", path_mean).select("_h", "_p", F.col("g").alias("global_mean"), "host_posterior", "path_posterior")
+    return within.crossJoin(F.broadcast(one)).withColumn("host_posterior", host_mean).withColumn("path_posterior", path_mean).select("_h", "_p", F.col("n").alias("_n"), F.col("g").alias("global_mean"), "host_posterior", "path_posterior")
 
 
 RESULTS = ("evidence", "host_posterior", "path_posterior", "posterior", "keep")
 
 
-def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text", prefix: str = "_") -> DataFrame:
-    """All columns of docs, and RESULTS with a prefix; columns of docs with those names are replaced."""
+def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text", prefix: str = "_", keep_text: bool = True) -> DataFrame:
+    """All columns of docs (or all but the text), and RESULTS with a prefix; columns of docs with those names are replaced. The evidence is computed once and
+    written with the columns; sites meet those rows by ``common.hot_join``."""
     named = {r: prefix + r for r in RESULTS}
     docs = docs.drop(*named.values())
     evidence = named["evidence"]
     scored = with_evidence(docs, model, text_col, evidence)
+    key = F.struct(F.col(host).cast("string").alias("h"), F.col(path).cast("string").alias("p"))
+    scored = common.written((scored if keep_text else scored.drop(text_col)).withColumn(SITE, key), "scored")
     prob = 1 / (1 + F.exp(-(F.col(evidence) + model.base)))
-    sites = posteriors(scored.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), prob.alias("p")), model.base)
-    sites = common.written(sites.select(*[F.col(c).alias(f"__tessera_{c}__") for c in sites.columns]), "sites")
-    site = lambda c: sites[f"__tessera_{c}__"]
-    met = scored.join(sites, scored[host].cast("string").eqNullSafe(site("_h")) & scored[path].cast("string").eqNullSafe(site("_p")))
-    away = _logit(site("path_posterior")) - _logit(site("global_mean"))
+    sites = posteriors(scored.select(F.col(f"{SITE}.h").alias("host"), F.col(f"{SITE}.p").alias("path"), prob.alias("p")), model.base)
+    sites = common.written(sites.select(F.struct(F.col("_h").alias("h"), F.col("_p").alias("p")).alias(SITE), *[F.col(c).alias(SITE + c) for c in ("_n", "global_mean", "host_posterior", "path_posterior")]), "sites")
+    met = common.hot_join(scored, sites, SITE, SITE + "_n")
+    away = _logit(F.col(SITE + "path_posterior")) - _logit(F.col(SITE + "global_mean"))
     prior = F.lit(model.base) + F.least(F.greatest(away, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
     post = 1 / (1 + F.exp(-(F.col(evidence) + prior)))
     if not model.words and not model.bins.any():
         post = F.lit(1.0)
-    return met.select(*[scored[c] for c in scored.columns], site("host_posterior").alias(named["host_posterior"]), site("path_posterior").alias(named["path_posterior"]), post.alias(named["posterior"]), (post >= KEEP).alias(named["keep"]))
+    own = [c for c in scored.columns if c != SITE]
+    return met.select(*[F.col(f"`{c}`") for c in own], F.col(SITE + "host_posterior").alias(named["host_posterior"]), F.col(SITE + "path_posterior").alias(named["path_posterior"]), post.alias(named["posterior"]), (post >= KEEP).alias(named["keep"]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

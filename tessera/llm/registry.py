@@ -14,7 +14,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    found = quality.classify(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")))
+    found = quality.classify(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")), keep_text=False)
     digits = lambda c: F.round(c, 6)  # noqa: E731  sums over shuffles differ in their last digits
     return found.select("doc_id", "source", "lang", digits("_evidence").alias("evidence"), digits("_host_posterior").alias("host_posterior"), digits("_path_posterior").alias("path_posterior"), digits("_posterior").alias("posterior"), F.col("_keep").alias("keep"))
 
