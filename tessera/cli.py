@@ -1,4 +1,4 @@
-"""python -m tessera.cli compare A.docx B.docx --out REPORT | index FOLDER OUT"""
+"""python -m tessera.cli compare A.docx B.docx --out REPORT [--config FILE] [--hardware FILE] | index FOLDER OUT"""
 
 from __future__ import annotations
 
@@ -20,15 +20,17 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("b")
     c.add_argument("--out")
     c.add_argument("--config")
+    c.add_argument("--hardware")
     i = sub.add_parser("index")
     i.add_argument("folder")
     i.add_argument("out")
     i.add_argument("--config")
     args = p.parse_args(argv)
     cfg = config.load(args.config) if args.config else config.Config()
-    spark = SparkSession.builder.appName("tessera").getOrCreate()
+    hw = config.hardware(args.hardware) if getattr(args, "hardware", None) else {}
+    spark = SparkSession.builder.appName("tessera").config(map=config.thread_settings(hw) if hw else {}).getOrCreate()
     if args.what == "compare":
-        print(json.dumps(comparing.compare(spark, args.a, args.b, args.out, cfg)["summary"], ensure_ascii=False, indent=2))
+        print(json.dumps(comparing.compare(spark, args.a, args.b, args.out, cfg, hw), ensure_ascii=False, indent=2))
     else:
         print(json.dumps(indexing.build(spark, args.folder, args.out, cfg)))
     return 0

@@ -1,12 +1,19 @@
-"""Settings of a comparison. A YAML file of nested keys is read into them; keys that never had an effect are named, not honoured."""
+"""Settings of a comparison. A YAML file of nested keys is read into them, with the phrase lists and term maps that it names; keys that never had an
+effect are named, not honoured."""
 
 from __future__ import annotations
 
+import logging
+import os
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
+from .sources import dicts
+
+log = logging.getLogger(__name__)
+
 #: Keys that files may have and that nothing reads.
-INERT = ("bm25.k1", "bm25.b", "simhash.ngram", "simhash.window", "thresholds", "alignment.gap_merge", "preprocess.accent_dual_versions", "preprocess.strip_punctuation", "io.export", "domain_dicts", "dictionary_paths.gazetteer")
+INERT = ("bm25.k1", "bm25.b", "simhash.ngram", "simhash.window", "thresholds", "alignment.gap_merge", "preprocess.accent_dual_versions", "preprocess.strip_punctuation", "io.export", "domain_dicts", "dictionary_paths.gazetteer", "ann.force_brute_force_threshold", "parallel", "chunking.max_seq_len_bi", "chunking.max_seq_len_cross")
 
 
 @dataclass(frozen=True)
@@ -78,8 +85,41 @@ _PLACES = {
 }
 
 
-def from_dict(raw: dict[str, Any]) -> Config:
-    """Settings from nested keys. A file without chunking.mode means sentences."""
+def _placed(path: str, folder: str) -> str:
+    """A path that a settings file names: beside the file or in a folder above it, or else as it stands."""
+    if not path or os.path.isabs(path):
+        return path
+    at = os.path.abspath(folder)
+    while True:
+        if os.path.exists(found := os.path.join(at, path)):
+            return found
+        if at == (at := os.path.dirname(at)):
+            return path
+
+
+def dictionaries(raw: dict[str, Any], folder: str = ".") -> dict[str, Any]:
+    """The settings that phrase lists and term maps give. Stop phrases and boilerplate must be there if they are named; maps, section headers and the domains'
+    boilerplate (lower-cased, if it is enabled) may be missing."""
+    paths = {k: _placed(v or "", folder) for k, v in (raw.get("dictionary_paths") or {}).items()}
+    found = dicts.load(paths)
+    domain = raw.get("domain_boilerplate") or {}
+    more = [_placed(p, folder) for p in domain.get("paths") or ()] if domain.get("enabled") else []
+    try:
+        headers = dicts.phrase_list(paths.get("section_headers", ""))
+    except (OSError, UnicodeError) as e:
+        log.warning("section headers: %s", e)
+        headers = []
+    return {
+        "stop_phrases": tuple(found.stop_phrases),
+        "boilerplate": tuple(dicts.domain_boilerplate(found.boilerplate, more)),
+        "abbreviations": tuple(found.abbreviations.items()),
+        "synonyms": tuple(found.synonyms.items()),
+        "section_headers": tuple(headers),
+    }
+
+
+def from_dict(raw: dict[str, Any], folder: str = ".") -> Config:
+    """Settings from nested keys; the files they name are looked for from ``folder`` on. A file without chunking.mode means sentences."""
     got: dict[str, Any] = {"mode": (raw.get("chunking") or {}).get("mode", "sentence")} if raw else {}
     for section, names in _PLACES.items():
         for n in names:
@@ -92,14 +132,34 @@ def from_dict(raw: dict[str, Any]) -> Config:
     w, p = raw.get("ranking_weights") or {}, raw.get("penalties") or {}
     got["weights"] = tuple(float(w.get(k, v)) for k, v in zip(("alpha", "beta", "gamma", "delta"), d.weights, strict=True))
     got["penalties"] = tuple(float(p.get(k, v)) for k, v in zip(("lex_boilerplate_lambda", "stopphrase_lambda", "citation_lambda"), d.penalties, strict=True))
-    return replace(d, raw=raw, **got)
+    return replace(d, raw=raw, **got, **dictionaries(raw, folder))
 
 
 def load(path: str) -> Config:
     import yaml
 
     with open(path, encoding="utf-8") as f:
-        return from_dict(yaml.safe_load(f) or {})
+        return from_dict(yaml.safe_load(f) or {}, os.path.dirname(path) or ".")
+
+
+def hardware(path: str) -> dict:
+    """A hardware file as it stands: its threads go to the executors (``thread_settings``), the rest is recorded in the report."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}
+
+
+def thread_settings(hw: dict) -> dict[str, str]:
+    """Spark settings for the numbers of threads of a hardware file."""
+    device = hw.get("device") or {}
+    return {f"spark.executorEnv.{name}": str(device.get(key, 8)) for name, key in (("OMP_NUM_THREADS", "omp_threads"), ("MKL_NUM_THREADS", "mkl_threads"))}
+
+
+def device_config(hw: dict) -> dict:
+    """What a neural plug-in is to be loaded with."""
+    device = hw.get("device") or {}
+    return {"use_gpu": bool(device.get("use_gpu", False)), "torch_dtype": device.get("torch_dtype", "float32")}
 
 
 def view(cfg: Config) -> dict:

@@ -107,6 +107,37 @@ def content_key(model: str, text: Column) -> Column:
     return F.md5(F.concat(F.lit(model + "||"), text))
 
 
+def content_key_list(texts: Column) -> Column:
+    """Identity of a list of texts in order: a record separator stands before each."""
+    return F.md5(F.array_join(F.transform(texts, lambda t: F.concat(F.lit("\x1e"), t)), ""))
+
+
+def content_key_texts(model: str, texts: Column) -> Column:
+    """Identity of a list of texts under a model."""
+    return F.md5(F.concat(F.lit(f"model={model}||"), content_key_list(texts)))
+
+
+def content_key_bytes(raw: Column) -> Column:
+    return F.md5(raw.cast("binary"))
+
+
+def dual_form(text: Column, lowercase: bool = True, form: str | None = "NFC") -> Column:
+    """The text normalised and lower-cased, and the same without accents: (text, plain)."""
+    full = nfc(text, form) if form else text
+    full = F.lower(full) if lowercase else full
+    return F.struct(full.alias("text"), remove_accents(full).alias("plain"))
+
+
+def percent(score: Column) -> Column:
+    """A score as a label: 12.3 %, without the space."""
+    return F.format_string("%.1f%%", score.cast("double") * 100)
+
+
+def label(level: Column) -> Column:
+    """A level as a label: upper case, words apart."""
+    return F.upper(F.replace(level, F.lit("_"), F.lit(" ")))
+
+
 # Functions for which Spark has no expression: Arrow UDFs.
 
 

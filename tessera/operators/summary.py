@@ -50,3 +50,8 @@ def union_coverage(spans: DataFrame, key: str, start: Column, end: Column, lengt
 def heat(start: Column, end: Column, length: Column) -> tuple[Column, Column]:
     """Left edge and width in percent of a span on a bar; 0.2 wide at least."""
     return start / length * 100, F.greatest(F.lit(0.2), (end - start) / length * 100)
+
+
+def heat_pairs(pairs: DataFrame, least: float = 0.72) -> DataFrame:
+    """The pairs that a heat map shows: those of a score of ``least`` (the bound of level high) or more."""
+    return pairs.where(F.col("score") >= least)

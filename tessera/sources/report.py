@@ -52,21 +52,39 @@ def normalized_pair(p: Column, bounds) -> list[Column]:
     ]
 
 
+def bounds_of(meta: Column):
+    """The bounds of levels that a report's own settings give: very_high falls back to high, then to its fixed value."""
+    at = lambda name: F.get_json_object(meta, f"$.cfg.thresholds.{name}").try_cast("double")
+    return tuple((name, F.coalesce(*map(at, names), F.lit(last))) for name, names, last in (("very_high", ("very_high", "high"), 0.82), ("high", ("high",), 0.72), ("medium", ("medium",), 0.60)))
+
+
 def pairs(reports: DataFrame, cfg: dict | None = None) -> DataFrame:
-    """A row per pair of reports with the columns of REPORT, in the normal shape."""
+    """A row per pair of reports with the columns of REPORT, in the normal shape, and report_no if they have it. Levels that aren't given follow each report's own
+    thresholds, or those of cfg."""
     found = F.coalesce("pairs", "results", "matches", "items")
-    return reports.select(F.posexplode(found).alias("pair_no", "p")).select("pair_no", *normalized_pair(F.col("p"), fallback_bounds(cfg)))
+    own = [c for c in ("report_no",) if c in reports.columns]
+    rows = reports.select(*own, "meta", F.posexplode(found).alias("pair_no", "p"))
+    return rows.select(*own, "pair_no", *normalized_pair(F.col("p"), bounds_of(F.col("meta")) if cfg is None else fallback_bounds(cfg)))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Report files as rows; raises on text that isn't JSON."""
-    return spark.read.schema(REPORT).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    """Report files as rows with their number (report_no); raises on text that isn't JSON, or YAML if the path ends so."""
+    if path.endswith((".yaml", ".yml")):
+
+        @F.udf("string")
+        def as_json(text: str) -> str:
+            import yaml
+
+            return json.dumps(yaml.safe_load(text), ensure_ascii=False, default=str)
+
+        rows = spark.read.text(path, wholetext=True).select(F.from_json(as_json("value"), REPORT, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    else:
+        rows = spark.read.schema(REPORT).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    return rows.withColumn("report_no", F.monotonically_increasing_id())
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    reports = read(spark, path)
-    meta = reports.select(F.get_json_object("meta", "$.cfg").alias("cfg")).first()
-    return pairs(reports, json.loads(meta["cfg"]) if meta and meta["cfg"] else {})
+    return pairs(read(spark, path)).drop("report_no")
 
 
 def derived_summary(found: DataFrame) -> DataFrame:
@@ -77,6 +95,43 @@ def derived_summary(found: DataFrame) -> DataFrame:
     return counted.crossJoin(found.agg((F.coalesce(F.max("a_chunk_id"), F.lit(-1)) + 1).alias("chunks_A"), (F.coalesce(F.max("b_chunk_id"), F.lit(-1)) + 1).alias("chunks_B")))  # one row each
 
 
+_SUMMARY = "struct<levels:map<string,bigint>,chunks_A:bigint,chunks_B:bigint>"
+
+
+def summaries(reports: DataFrame) -> DataFrame:
+    """A row per report: report_no, levels (name to count), chunks_A, chunks_B and rest. What its summary (or stats) says comes first; missing levels are counted, missing
+    chunk counts are the largest ids plus one, or 0. rest: the summary as it stands, in JSON."""
+    names = ("very_high", "high", "medium", "low")
+    # Other levels than the four are counted too.
+    found = pairs(reports)
+    counted = found.where(~F.col("level").isin(*names)).groupBy("report_no", "level").agg(F.count("*").alias("n")).groupBy("report_no").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("other"))
+    fixed = found.groupBy("report_no").agg(*[F.count_if(F.col("level") == n).alias(n) for n in names], F.max("a_chunk_id").alias("a"), F.max("b_chunk_id").alias("b"))
+    said = F.coalesce(F.nullif("summary", F.lit("{}")), F.nullif("stats", F.lit("{}")))
+    met = reports.select("report_no", said.alias("rest"), F.from_json(said, _SUMMARY).alias("s")).join(fixed, "report_no", "left").join(counted, "report_no", "left")
+    own = F.create_map(*[x for n in names for x in (F.lit(n), F.coalesce(n, F.lit(0).cast("long")))])
+    levels = F.when(F.col("other").isNotNull(), F.map_concat(own, "other")).otherwise(own)
+    chunks = lambda name, c: F.coalesce(F.col("s")[name], F.greatest(F.coalesce(c, F.lit(-1)), F.lit(-1)).cast("long") + 1).alias(name)
+    return met.select("report_no", F.coalesce(F.col("s")["levels"], levels).alias("levels"), chunks("chunks_A", "a"), chunks("chunks_B", "b"), "rest")
+
+
+def normalized(spark: SparkSession, path: str) -> dict:
+    """One stored report of any shape in the normal shape, as a page shows it: summary, pairs, meta."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(path)
+    one = read(spark, path)
+    whole = summaries(one).first()
+    made = (json.loads(whole["rest"]) if whole["rest"] else {}) | {"levels": dict(whole["levels"]), "chunks_A": whole["chunks_A"], "chunks_B": whole["chunks_B"]}
+    meta = one.first()["meta"]
+    return {"summary": made, "pairs": [r.asDict(True) for r in pairs(one).drop("report_no", "pair_no").collect()], "meta": json.loads(meta) if meta else {}}  # one comparison's
+
+
+def export_html(spark: SparkSession, path: str, out: str) -> str:
+    """A stored report as a page of its own."""
+    found = normalized(spark, path)
+    write_html(out, found["summary"], [r | {"scores": r["scores"] or {}} for r in found["pairs"]])
+    return out
+
+
 # --- sinks --------------------------------------------------------------------------------------------------------
 
 
@@ -128,12 +183,14 @@ def write_html(path: str, summary: dict, records: list[dict]) -> None:
 
 
 class JsonLog:
-    """Appends one JSON object a line, and times sections."""
+    """Appends one JSON object a line, and times sections; without a path it does nothing."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None):
         self.path = path
 
     def log(self, obj: dict) -> None:
+        if not self.path:
+            return
         with open(self.path, "a", encoding="utf-8") as f:
             f.write(json.dumps(obj, ensure_ascii=False) + "\n")
 
@@ -146,12 +203,28 @@ class JsonLog:
             self.log({"event": "timing", "section": name, "seconds": round(time.perf_counter() - began, 4)})
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def cache_read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A keyed result cache; one that is missing or can't be read is empty."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001  whatever is wrong with it, the cache is then filled anew
-        return spark.createDataFrame([], schema)
+    """A keyed result cache; one that is missing is empty. One that can't be read is an error, as filling it anew would hide what is wrong."""
+    return spark.read.schema(schema).parquet(path) if _there(spark, path) else spark.createDataFrame([], schema)
+
+
+JSON_CACHE = "namespace string, key string, value string"
+
+
+def json_cache_read(spark: SparkSession, path: str, namespace: str) -> DataFrame:
+    """(key, value) of a namespace of a cache of JSON values; values that don't parse are left out, and of a key's values one counts."""
+    rows = cache_read(spark, path, JSON_CACHE).where((F.col("namespace") == namespace) & F.try_parse_json("value").isNotNull())
+    return rows.groupBy("key").agg(F.max("value").alias("value"))
+
+
+def json_cache_add(rows: DataFrame, path: str, namespace: str) -> None:
+    """rows: (key, value), the value as JSON text."""
+    rows.select(F.lit(namespace).alias("namespace"), "key", "value").write.mode("append").partitionBy("namespace").parquet(path)
 
 
 def cache_add(rows: DataFrame, path: str) -> None:
@@ -159,8 +232,10 @@ def cache_add(rows: DataFrame, path: str) -> None:
 
 
 def ensure_file(path: str, suffix: str = ".docx") -> str:
-    if not path.endswith(suffix):
+    """The path, if it ends so and is there; of another store than this machine's, Spark finds out whether it is."""
+    if not path.lower().endswith(suffix):
         raise ValueError(f"not a {suffix} file: {path}")
-    if not os.path.exists(path):
+    scheme, _, rest = path.partition(":") if ":" in path.split("/")[0] else ("file", "", path)
+    if scheme == "file" and not os.path.exists("/" + rest.lstrip("/") if rest.startswith("//") else rest):
         raise FileNotFoundError(path)
     return path

@@ -214,3 +214,110 @@ def test_log(tmp_path):
         pass
     assert json.loads((tmp_path / "l.jsonl").read_text())["section"] == "s"
     assert Counter(text.canonical_phrases(["a", "bb", "a"])) == Counter({"a": 1, "bb": 1})
+
+
+def settings_file(tmp_path, **more):
+    import yaml
+
+    (tmp_path / "data").mkdir(exist_ok=True)
+    (tmp_path / "conf").mkdir(exist_ok=True)
+    lists = {"stops.txt": "rèn luyện\n", "boiler.txt": "Nguồn học liệu\n", "domain.txt": "Phong Phú\n\n", "abbr.tsv": "ĐH\tđại học\nsv\tsinh viên\n", "syn.tsv": "học viên\tsinh viên\n", "heads.txt": " Chương một \n"}
+    for name, body in lists.items():
+        (tmp_path / "data" / name).write_text(body, encoding="utf-8")
+    raw = {
+        "dictionary_paths": {"stop_phrases": "data/stops.txt", "boilerplate": "data/boiler.txt", "abbreviations": "data/abbr.tsv", "synonyms": "data/syn.tsv", "section_headers": "data/heads.txt", "gazetteer": "data/none.tsv"},
+        "domain_boilerplate": {"enabled": True, "paths": ["data/domain.txt", "data/none.txt"]},
+        "chunking": {"mode": "paragraph"},
+        "gating": {"ce_max_bi": 1.0},
+        **more,
+    }
+    path = tmp_path / "conf" / "settings.yaml"
+    path.write_text(yaml.safe_dump(raw, allow_unicode=True), encoding="utf-8")
+    return str(path)
+
+
+def test_settings_read_their_dictionaries(tmp_path):
+    c = config.load(settings_file(tmp_path))
+    assert c.stop_phrases == ("rèn luyện",) and c.boilerplate == ("Nguồn học liệu", "phong phú") and c.section_headers == ("Chương một",)
+    assert dict(c.abbreviations) == {"đh": "đại học", "sv": "sinh viên"} and dict(c.synonyms) == {"học viên": "sinh viên"}
+    assert config.load(settings_file(tmp_path, domain_boilerplate={"enabled": False, "paths": ["data/domain.txt"]})).boilerplate == ("Nguồn học liệu",)
+    with pytest.raises(FileNotFoundError):
+        config.load(settings_file(tmp_path, dictionary_paths={"stop_phrases": "data/missing.txt"}))
+    assert config.load(settings_file(tmp_path, dictionary_paths={"section_headers": "data/missing.txt"})).section_headers == ()
+
+
+def test_dictionaries_change_a_comparison(spark, tmp_path):
+    shared = " ".join(WORDS) + " và áp dụng chúng vào đồ án cuối khóa."
+    a, b = tmp_path / "a.docx", tmp_path / "b.docx"
+    a.write_bytes(docx.build(["Chương một", "SV ở ĐH. " + shared], []))
+    b.write_bytes(docx.build(["Lời khác hẳn.", "Học viên ở đại học. " + shared], []))
+    plain = compare.compare(spark, str(a), str(b), cfg=config.Config(ce_max_bi=1.0))
+    known = config.load(settings_file(tmp_path))
+    with_lists = compare.compare(spark, str(a), str(b), str(tmp_path / "out"), known)
+    bare = {(p["a"]["text"], p["b"]["text"]): p["scores"]["lex"] for p in plain["pairs"]}
+    pairs = {(p["a"]["text"], p["b"]["text"]): p["scores"]["lex"] for p in with_lists["pairs"]}
+    assert any("SV ở ĐH" in x for x, _ in pairs) and not any("Chương một" in x and "SV" in x for x, _ in pairs)  # a heading is a chunk of its own
+    # Boilerplate of both kinds stands on both sides, so the lexical score is halved (the stop phrase is taken out before it can count).
+    only_maps = compare.compare(spark, str(a), str(b), cfg=config.load(settings_file(tmp_path, penalties={"lex_boilerplate_lambda": 0.0})))
+    undone = {(p["a"]["text"], p["b"]["text"]): p["scores"]["lex"] for p in only_maps["pairs"]}
+    (key,) = [k for k in pairs if "SV ở ĐH" in k[0]]
+    assert pairs[key] == pytest.approx(undone[key] / 2, abs=1e-6) and bare
+    sections = [json.loads(x)["section"] for x in (tmp_path / "out.log.jsonl").read_text().splitlines()]
+    assert {"read_docs", "chunking", "indexes", "match_rerank_align", "aggregate"} <= set(sections)
+
+
+def test_uploads(spark, tmp_path):
+    raw = docx.build([" ".join(WORDS) + " và áp dụng chúng vào đồ án cuối khóa."], [])
+    got = compare.compare_uploads(spark, ("x.DOCX", raw), ("y.docx", raw), settings={"bm25_topk": 3})
+    assert got["summary"]["pairs"] >= 1 and got["meta"]["cfg"]["bm25_topk"] == 3
+    with pytest.raises(ValueError):
+        compare.compare_uploads(spark, ("x.txt", raw), ("y.docx", raw))
+
+
+def test_hardware(tmp_path):
+    path = tmp_path / "hw.yaml"
+    path.write_text("device: {use_gpu: true, omp_threads: 10}\n")
+    hw = config.hardware(str(path))
+    assert config.thread_settings(hw) == {"spark.executorEnv.OMP_NUM_THREADS": "10", "spark.executorEnv.MKL_NUM_THREADS": "8"}
+    assert config.device_config(hw) == {"use_gpu": True, "torch_dtype": "float32"}
+
+
+def test_reports_of_any_shape(spark, tmp_path):
+    import yaml
+
+    one = {"results": [{"similarity": 75, "a_id": 4, "b_id": 1, "a_text": "x & y", "b": "z"}, {"sim": 0.5, "level": "odd"}], "stats": {"took": 3, "chunks_B": 9}, "meta": {"cfg": {"thresholds": {"high": 0.74, "medium": 0.4}}}}
+    two = {"pairs": [{"score": 0.75, "a_chunk_id": 0, "b_chunk_id": 0}], "summary": {"levels": {"high": 7}}, "meta": {"cfg": {"thresholds": {"high": 0.9, "very_high": 0.95, "medium": 0.8}}}}
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/one.json").write_text(json.dumps(one))
+    (tmp_path / "r/two.json").write_text(json.dumps(two))
+    (tmp_path / "three.yaml").write_text(yaml.safe_dump(one))
+    # Each report has its own bounds; without very_high its bound is that of high.
+    assert sorted((r.score, r.level) for r in report.read_pairs(spark, str(tmp_path / "r")).collect()) == [(0.5, "odd"), (0.75, "low"), (0.75, "very_high")]
+    assert [(r.score, r.level, r.a.text) for r in report.read_pairs(spark, str(tmp_path / "three.yaml")).collect()] == [(0.75, "very_high", "x & y"), (0.5, "odd", "")]
+    full = report.normalized(spark, str(tmp_path / "three.yaml"))
+    assert full["summary"] == {"took": 3, "chunks_A": 5, "chunks_B": 9, "levels": {"very_high": 1, "high": 0, "medium": 0, "low": 0, "odd": 1}} and full["meta"] == one["meta"]
+    assert report.normalized(spark, str(tmp_path / "r/two.json"))["summary"] == {"levels": {"high": 7}, "chunks_A": 1, "chunks_B": 1}
+    (tmp_path / "empty.json").write_text("{}")
+    assert report.normalized(spark, str(tmp_path / "empty.json")) == {"summary": {"levels": {"very_high": 0, "high": 0, "medium": 0, "low": 0}, "chunks_A": 0, "chunks_B": 0}, "pairs": [], "meta": {}}
+    page = open(report.export_html(spark, str(tmp_path / "r/one.json"), str(tmp_path / "p.html"))).read()
+    assert "x &amp; y" in page and "75.0%" in page
+    with pytest.raises(FileNotFoundError):
+        report.normalized(spark, str(tmp_path / "none.json"))
+    assert summary.heat_pairs(report.read_pairs(spark, str(tmp_path / "r"))).count() == 2
+
+
+def test_caches_and_keys(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert report.json_cache_read(spark, path, "a").count() == 0
+    rows = spark.createDataFrame([("k", '{"x": 1}'), ("l", "no json")], "key string, value string")
+    report.json_cache_add(rows, path, "a")
+    report.json_cache_add(rows, path, "b")
+    assert [(r.key, json.loads(r.value)) for r in report.json_cache_read(spark, path, "a").collect()] == [("k", {"x": 1})]
+    (tmp_path / "bad").write_text("not a table")
+    with pytest.raises(Exception):
+        report.cache_read(spark, str(tmp_path / "bad"), "key string").collect()
+    got = spark.createDataFrame([(["a", "bé"], b"\x00\xff", "A\u0301B")], "t array<string>, b binary, d string").select(text.content_key_list(F.col("t")).alias("l"), text.content_key_texts("m", F.col("t")).alias("m"), text.content_key_bytes(F.col("b")).alias("b"), text.dual_form(F.col("d")).alias("d"), text.percent(F.lit(0.1234)).alias("p"), text.label(F.lit("very_high")).alias("v")).first()
+    listed = hashlib.md5("\x1ea\x1ebé".encode()).hexdigest()
+    assert (got.l, got.m, got.b) == (listed, hashlib.md5(f"model=m||{listed}".encode()).hexdigest(), hashlib.md5(b"\x00\xff").hexdigest())
+    assert tuple(got.d) == ("áb", "ab") and (got.p, got.v) == ("12.3%", "VERY HIGH")
+    assert text.content_key_list is not None and Counter(x.l for x in spark.createDataFrame([([],)], "t array<string>").select(text.content_key_list(F.col("t")).alias("l")).collect()) == Counter([hashlib.md5(b"").hexdigest()])
