@@ -53,10 +53,11 @@ def common_blocks(a: str, b: str) -> list[Block]:
 
 
 @F.pandas_udf(ArrayType(StructType([StructField(n, IntegerType()) for n in ("a0", "a1", "b0", "b1")])))
-def _blocks(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+def blocks(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Span pairs of equal text of ``least`` characters or more; none if a side is null or empty."""
     return pd.Series([[{"a0": p, "a1": p + n, "b0": q, "b1": q + n} for p, q, n in (common_blocks(x, y) if x and y else ()) if n >= m] for x, y, m in zip(a, b, least, strict=True)], dtype=object)
 
 
 def tiles(a: Column, b: Column, least: int = 20, gap: int = 10) -> Column:
     """Span pairs of equal text of ``least`` characters or more, near ones joined; none if a side is null or empty."""
-    return merged_pairs(_blocks(a, b, F.lit(least)), gap)
+    return merged_pairs(blocks(a, b, F.lit(least)), gap)

@@ -1,13 +1,13 @@
 """Model plug-ins: an embedder of texts and a scorer of pairs, with deterministic stand-ins that need no model file.
 
 Anything with ``encode(list of texts) -> rows of length 1`` or ``score(list of pairs) -> numbers from 0 to 1`` can take their
-place; it is pickled to the tasks and loaded there once per worker."""
+place. It is pickled to the tasks; a model that is large, or can't be pickled, goes as ``PerWorker``, which loads it in each worker once."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from typing import Protocol
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,28 @@ class PairScorer(Protocol):
     def score(self, pairs: list[tuple[str, str]]) -> np.ndarray: ...
 
 
+_LOADED: dict[tuple, Any] = {}
+
+
+class PerWorker:
+    """A plug-in that ``factory(*args)`` builds on first use, once per process; only the factory (a function of a module) and its arguments are pickled."""
+
+    def __init__(self, name: str, factory: Callable, *args):
+        self.name, self.factory, self.args = name, factory, args
+
+    def _model(self):
+        key = (self.factory.__module__, self.factory.__qualname__, *self.args)
+        if key not in _LOADED:
+            _LOADED[key] = self.factory(*self.args)
+        return _LOADED[key]
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return self._model().encode(texts)
+
+    def score(self, pairs: list[tuple[str, str]]) -> np.ndarray:
+        return self._model().score(pairs)
+
+
 class HashedGrams:
     """Signed hashed words and character trigrams of a text, scaled to length 1; zero for a blank text."""
 

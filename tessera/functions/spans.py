@@ -64,11 +64,11 @@ def passes_rule(spans: Column, long: int = 24, short: int = 12, several: int = 2
     return F.exists(spans, lambda x: size(x) >= long) | (F.size(F.filter(spans, lambda x: size(x) >= short)) >= several)
 
 
-def snippets(text: Column, spans: Column, around: int = 40) -> Column:
-    """Per merged span: what stands before, the hit, what follows, and the offsets."""
+def snippets(text: Column, spans: Column, around: int = 40, merge: bool = True) -> Column:
+    """Per merged span (or per span as given): what stands before, the hit, what follows, and the offsets."""
     cut = lambda s, e: F.substring(text, s + 1, F.greatest(F.lit(0), e - s))
     return F.transform(
-        merged(spans),
+        merged(spans) if merge else spans.cast(SPAN),
         lambda x: F.struct(
             cut(F.greatest(F.lit(0), x["s"] - around), x["s"]).alias("before"),
             cut(x["s"], x["e"]).alias("hit"),
@@ -78,6 +78,20 @@ def snippets(text: Column, spans: Column, around: int = 40) -> Column:
     )
 
 
+def marked_by_level(text: Column, spans: Column, level: Column) -> Column:
+    """The text as HTML with each span, in order of start and without merging (so that what two spans share stands twice), in a mark element
+    of its level's class; an empty text is empty."""
+    n = F.length(text)
+    held = F.transform(F.array_sort(spans.cast(SPAN)), lambda x: F.struct(F.greatest(F.lit(0), x["s"]).alias("s"), F.least(n, x["e"]).alias("e")))
+    piece = lambda s, e: html_escape(F.substring(text, s + 1, F.greatest(F.lit(0), e - s)))
+
+    def step(acc, x):
+        mark = F.concat(F.lit('<mark class="lvl-'), F.coalesce(level, F.lit("low")), F.lit('">'))
+        return F.struct(F.concat(acc["out"], piece(acc["at"], x["s"]), mark, piece(x["s"], x["e"]), F.lit("</mark>")).alias("out"), x["e"].alias("at"))
+
+    return F.aggregate(held, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], n)))
+
+
 def marked(text: Column, spans: Column) -> Column:
     """The text as HTML with its merged spans in mark elements; an empty text is empty."""
     n = F.length(text)

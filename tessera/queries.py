@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import models, scores, spans, text
-from .functions.align import tiles
+from .functions.align import blocks, tiles
 from .operators import bm25, candidates, grams, segment, simhash, summary, vectors
 from .sources import report
 from .store import written
@@ -591,6 +591,30 @@ def marked_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(spans.marked(plain, s)).alias("h"))
 
 
+_DIAGONAL = "ij.row[i+1]>ij.row[i] AND ab.row[i+1]<=ab.row[i]"
+
+
+@query(
+    "WITH RECURSIVE p AS (SELECT x.conv_id, x.turn, substr(x.text,1,40) AS a, substr(y.text,1,40) AS b FROM conversations x JOIN conversations y ON x.conv_id=y.conv_id AND y.turn=x.turn+1),"
+    " q AS (SELECT *, coalesce(list_max(list_filter(range(1,least(length(a),length(b))+1), lambda k: substr(a,1,k)=substr(b,1,k))),0) AS h FROM p),"
+    " r AS (SELECT *, coalesce(list_max(list_filter(range(1,least(length(a),length(b))-h+1), lambda k: substr(a,length(a)-k+1)=substr(b,length(b)-k+1))),0) AS t FROM q),"
+    " c AS MATERIALIZED (SELECT *, substr(a,(h+1)::INT,(length(a)-h-t)::INT) AS x, substr(b,(h+1)::INT,(length(b)-h-t)::INT) AS y FROM r),"
+    " d(conv_id, turn, j, row) AS (SELECT conv_id, turn, 0::BIGINT, list_transform(range(0,length(x)+1), lambda i: 0::BIGINT) FROM c"
+    " UNION ALL SELECT conv_id, turn, j+1, [0::BIGINT]||list_transform(range(1,n+1), lambda i: list_max(best[1:i])) FROM (SELECT d.conv_id, d.turn, j, length(x) AS n, list_transform(range(1,length(x)+1), lambda i: greatest(row[i+1], CASE WHEN substr(x,i::INT,1)=substr(y,(j+1)::INT,1) THEN row[i]+1 ELSE 0 END)) AS best FROM d JOIN c ON c.conv_id=d.conv_id AND c.turn=d.turn WHERE j<length(y))),"
+    " w(conv_id, turn, i, j, hit) AS (SELECT conv_id, turn, length(x)::BIGINT, length(y)::BIGINT, false FROM c"
+    f" UNION ALL SELECT w.conv_id, w.turn, CASE WHEN {_DIAGONAL} OR ij.row[i+1]<=ij.row[i] THEN i-1 ELSE i END, CASE WHEN ij.row[i+1]>ij.row[i] THEN w.j-1 ELSE w.j END, {_DIAGONAL} FROM w JOIN d ij ON ij.conv_id=w.conv_id AND ij.turn=w.turn AND ij.j=w.j JOIN d ab ON ab.conv_id=w.conv_id AND ab.turn=w.turn AND ab.j=w.j-1 WHERE i>0 AND w.j>0),"
+    " o AS (SELECT conv_id, turn, unnest(range(0,h)) AS u, unnest(range(0,h)) AS v FROM c UNION ALL SELECT w.conv_id, w.turn, i+h, j+h FROM w JOIN c ON c.conv_id=w.conv_id AND c.turn=w.turn WHERE hit UNION ALL SELECT conv_id, turn, unnest(range(length(a)-t,length(a))), unnest(range(length(b)-t,length(b))) FROM c),"
+    " g AS (SELECT conv_id, turn, min(u) AS u, min(v) AS v, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY u) AS k FROM o) GROUP BY conv_id, turn, u-k, v-k HAVING count(*)>=2)"
+    " SELECT c.conv_id, c.turn, coalesce(string_agg(u||':'||(u+n)||':'||v||':'||(v+n), ',' ORDER BY u),'') AS pairs FROM c LEFT JOIN g ON g.conv_id=c.conv_id AND g.turn=c.turn GROUP BY c.conv_id, c.turn"
+)
+def lcs_blocks(spark, sf):
+    """Equal runs of two characters or more in the longest common subsequence of the first 40 characters of neighbouring turns."""
+    short = table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("t"))
+    met = short.withColumnRenamed("t", "a").join(short.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("b")), ["conv_id", "turn"])
+    found = blocks(F.col("a"), F.col("b"), F.lit(2))
+    return met.select("conv_id", "turn", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["a0"], x["a1"], x["b0"], x["b1"])), ",").alias("pairs"))
+
+
 @query()
 def lcs_align(spark, sf):
     """The best document's chunks and each item, aligned."""

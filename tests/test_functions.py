@@ -158,3 +158,20 @@ def test_common_blocks_are_a_longest_subsequence():
 def test_tiles_of_nulls(spark):
     df = spark.createDataFrame([(None, "x"), ("", "x"), ("a" * 30, "b" + "a" * 30)], "a string, b string")
     assert [[tuple(p) for p in r[0]] for r in df.select(tiles(F.col("a"), F.col("b"))).collect()] == [[], [], [(0, 30, 1, 31)]]
+
+
+def test_marks_by_level_and_plain_snippets(spark):
+    df = spark.createDataFrame([("ab<cd>ef", [(4, 20), (0, 3), (2, 5)], "high"), ("", [], None), ("x", [], None)], "t string, s array<struct<s:int,e:int>>, l string")
+    got = df.select(spans.marked_by_level(F.col("t"), F.col("s"), F.col("l")).alias("m"), spans.snippets(F.col("t"), F.col("s"), 1, merge=False).alias("n")).collect()
+    assert got[0].m == '<mark class="lvl-high">ab&lt;</mark><mark class="lvl-high">&lt;cd</mark><mark class="lvl-high">d&gt;ef</mark>' and got[1].m == "" and got[2].m == "x"
+    assert [(x.before, x.hit, x.after) for x in got[0].n] == [("c", "d>ef", ""), ("", "ab<", "c"), ("b", "<cd", ">")]
+
+
+def test_models_are_loaded_once_per_worker(spark):
+    from tessera.functions import models
+
+    one = models.PerWorker("once", models.HashedGrams, 16)
+    got = spark.createDataFrame([("a b",), ("c",), (None,)], "t string").select(models.embed(F.col("t"), one).alias("e")).collect()
+    assert [len(r.e) for r in got] == [16, 16, 16] and not models._LOADED
+    assert one.encode(["a b"]).shape == (1, 16) and one._model() is models.PerWorker("again", models.HashedGrams, 16)._model()
+    models._LOADED.clear()
