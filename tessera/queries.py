@@ -143,22 +143,38 @@ def accents_removed(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.remove_accents(F.col("text"))).alias("h"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text,'(^|[^\\p{L}\\p{N}_])(?:is)($|[^\\p{L}\\p{N}_])','\\1are\\2','g'),'(^|[^\\p{L}\\p{N}_])(?:is)($|[^\\p{L}\\p{N}_])','\\1are\\2','g')) AS h FROM (SELECT doc_id, replace(replace(text,'IS','is'),'Is','is') AS text FROM documents)")
+def _mapped(t: str, pairs: dict[str, str]) -> str:
+    """SQL for words replaced one key after another: twice each, as neighbours share the sign between them."""
+    for k, v in pairs.items():
+        for _ in range(2):
+            t = f"regexp_replace({t},'(^|[^\\p{{L}}\\p{{N}}_])(?:{k})($|[^\\p{{L}}\\p{{N}}_])','\\1{v}\\2','gi')"
+    return t
+
+
+_WORDS = {"is": "are", "of": "from", "de": "von", "und": "and also"}
+
+
+@query(f"SELECT doc_id, md5({_mapped('text', _WORDS)}) AS h FROM documents")
 def word_map(spark, sf):
-    low = F.replace(F.replace(F.col("text"), F.lit("IS"), F.lit("is")), F.lit("Is"), F.lit("is"))
-    how = text.WordMap({"is": "are"})
+    how = text.WordMap(_WORDS)
 
     @F.pandas_udf("string")
     def mapped(s):
         return s.map(how, na_action="ignore")
 
-    return table(spark, sf, "documents").select("doc_id", F.md5(mapped(low)).alias("h"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(mapped(F.col("text"))).alias("h"))
+
+
+_RETRIEVED = _mapped(_mapped("lower(nfc_normalize(text))", {"is": "etc", "la": "den"}), {"etc": "and so on", "in": "within"})
+for _p in ("under the ", "les ", "the ", "und der", "de "):
+    _RETRIEVED = f"replace({_RETRIEVED},'{_p}',' ')"
 
 
-@query(f"SELECT doc_id, md5({_ws('replace(replace(lower(text),' + chr(39) + 'les ' + chr(39) + ',' + chr(39) + ' ' + chr(39) + '),' + chr(39) + 'the ' + chr(39) + ',' + chr(39) + ' ' + chr(39) + ')')}) AS h FROM documents")
+@query(f"SELECT doc_id, md5({_ws(_RETRIEVED)}) AS h FROM documents")
 def retrieval_view(spark, sf):
-    how = text.Retrieval(stop_phrases=("the ", "les "))
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.retrieval_form(F.col("text"), how)).alias("h"))
+    """Of the decomposed texts, so that the composition is seen."""
+    how = text.Retrieval({"is": "etc", "la": "den"}, {"etc": "and so on", "in": "within"}, ("the ", "under the ", "les "), ("de ", "und der"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.retrieval_form(text.nfc(F.col("text"), "NFD"), how)).alias("h"))
 
 
 @query("SELECT page_id, md5(replace(replace(replace(html,'&','&amp;'),'<','&lt;'),'>','&gt;')) AS h FROM pages")
@@ -570,10 +586,13 @@ def span_pair_merge(spark, sf):
     return _span_pairs(spark, sf).select("l_orderkey", F.array_join(F.transform(m, lambda x: F.concat_ws(":", x["a0"], x["a1"], x["b0"], x["b1"])), ",").alias("spans"))
 
 
-@query(f"SELECT l_orderkey, round(sum(s/400.0*100),6) AS lefts, round(sum(greatest(0.2,(e-s)/400.0*100)),6) AS widths FROM {_SPANS} GROUP BY l_orderkey")
+@query("SELECT l_orderkey, l_linenumber, round(s/400.0*100,6) AS lefts, round(greatest(0.2,(e-s)/400.0*100),6) AS widths FROM (SELECT l_orderkey, l_linenumber, (l_partkey%300)::INT AS s, (l_partkey%300)::INT+(floor(l_quantity)::INT-1)//7 AS e FROM lineitem)")
 def heatmap(spark, sf):
-    left, width = summary.heat(F.col("s"), F.col("e"), F.col("n"))
-    return _span_rows(spark, sf).groupBy("l_orderkey").agg(r6(F.sum(left)).alias("lefts"), r6(F.sum(width)).alias("widths"))
+    """Left edge and width of each span's mark, many of the smallest width."""
+    li = table(spark, sf, "lineitem")
+    s = (F.col("l_partkey") % 300).cast("int")
+    left, width = summary.heat(s, s + F.floor((F.col("l_quantity").cast("int") - 1) / 7).cast("int"), F.lit(400))
+    return li.select("l_orderkey", "l_linenumber", r6(left).alias("lefts"), r6(width).alias("widths"))
 
 
 @query("SELECT doc_id, substr(text,greatest(0,p-40)+1,p-greatest(0,p-40)) AS before, substr(text,p+1,3) AS hit, substr(text,p+4,40) AS after FROM (SELECT doc_id, text, instr(text,'the')-1 AS p FROM documents) WHERE p>=0")
@@ -633,20 +652,47 @@ def semantic_sentence_match(spark, sf):
 
 # --- reports, caches ----------------------------------------------------------------------------------------------
 
-_REPORTS = (
-    '{"pairs":[{"score":0.91,"a_chunk_id":0,"b_chunk_id":4,"a":{"text":"x y","spans":[[0,3]]},"b":{"text":"x y z","spans":[]}},{"score":"84","level":"","chunk_a":2,"b_id":7,"a_text":"p"}]}',
-    '{"results":[{"similarity":0.5,"a_id":1,"b_chunk_id":1,"a":"plain","text_b":"q","spans_b":[[1,2]]},{"ratio":"bad","a_chunk_id":3,"b_chunk_id":9}]}',
+# Reports of every shape made from the tables: each field under one of its names, as the line's number says.
+_SCORE_NAMES, _LIST_NAMES = ("score", "similarity", "sim", "ratio"), ("pairs", "results", "matches", "items")
+_REPORT_ROWS = (
+    "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_quantity::INT AS q, CASE WHEN l_quantity::INT%2=0 THEN l_quantity::INT/100.0 ELSE l_quantity::INT+45.5 END AS score,"
+    " CASE WHEN l_partkey%5=0 THEN 'odd' ELSE '' END AS level, CASE WHEN l_orderkey%2=0 THEN 0.9 ELSE 0.3 END AS high FROM lineitem"
 )
 
 
-@query("SELECT * FROM (VALUES (0,0,0.91::DOUBLE,'very_high',0,4,'x y','x y z',1::INT,0::INT),(0,1,0.84::DOUBLE,'very_high',2,7,'p','',0,0),(1,0,0.5::DOUBLE,'low',1,1,'plain','q',0,1),(1,1,0.0::DOUBLE,'low',3,9,'','',0,0)) v(report,pair_no,score,level,a_chunk_id,b_chunk_id,a_text,b_text,a_spans,b_spans)")
+@query(
+    f"SELECT k AS report, n AS line, round(score,6) AS score, CASE WHEN level<>'' THEN level WHEN score>=high THEN 'very_high' WHEN score>=0.2 THEN 'medium' ELSE 'low' END AS level, p::INT AS a_chunk_id, q AS b_chunk_id, 'x'||p AS a_text, 'y'||q AS b_text, 1 AS a_spans, (n%2)::INT AS b_spans FROM (SELECT * REPLACE (CASE WHEN score>1.5 THEN score/100 ELSE score END AS score) FROM ({_REPORT_ROWS}))"
+)
 def report_normalize(spark, sf):
-    out = None
-    for n, raw in enumerate(_REPORTS):
-        one = report.pairs(spark.range(1).select(F.from_json(F.lit(raw), report.REPORT).alias("r")).select("r.*"))
-        one = one.select(F.lit(n).alias("report"), "pair_no", r6("score").alias("score"), "level", "a_chunk_id", "b_chunk_id", F.col("a.text").alias("a_text"), F.col("b.text").alias("b_text"), F.size("a.spans").alias("a_spans"), F.size("b.spans").alias("b_spans"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("int").alias("q"))
+    score = F.when(F.col("q") % 2 == 0, F.col("q") / 100).otherwise(F.col("q") + 45.5)
+    named = lambda names, value, by: [F.when(by % len(names) == i, value).alias(c) for i, c in enumerate(names)]
+    spans_of = F.array(F.array(F.lit(0), F.lit(2)))
+    none = F.array().cast("array<array<int>>")
+    x, y = F.concat(F.lit("x"), F.col("p")), F.concat(F.lit("y"), F.col("q"))
+    by = F.col("n")
+    obj = F.struct(x.alias("text"), spans_of.alias("spans"))
+    pair = F.struct(
+        *named(_SCORE_NAMES, score.cast("string"), by),
+        F.when(F.col("p") % 5 == 0, F.lit("odd")).otherwise(F.lit("")).alias("level"),
+        *named(("a_chunk_id", "chunk_a", "a_id"), F.col("p").cast("int"), by),
+        *named(("b_chunk_id", "chunk_b", "b_id"), F.col("q"), by + 1),
+        # A side is an object, a plain text, or stands in fields beside.
+        F.when(by % 4 == 0, F.to_json(obj)).when(by % 4 == 1, x).alias("a"),
+        F.when(by % 4 == 2, x).alias("a_text"),
+        F.when(by % 4 == 3, x).alias("text_a"),
+        F.when(by % 4 != 0, spans_of).alias("a_spans"),
+        F.when(by % 3 == 0, y).alias("b"),
+        *[F.when(by % 3 == 1 + i, y).alias(c) for i, c in enumerate(("b_text", "text_b"))],
+        F.when(by % 2 == 1, spans_of).otherwise(none).alias("spans_b"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("n", pair.alias("p"))))
+    meta = F.to_json(F.struct(F.struct(F.struct(F.when(F.col("k") % 2 == 0, F.lit(0.9)).otherwise(F.lit(0.3)).alias("high"), F.lit(0.2).alias("medium")).alias("thresholds")).alias("cfg")))
+    rows = li.groupBy("k").agg(F.transform(listed, lambda z: z["p"]).alias("own"), F.transform(listed, lambda z: z["n"]).alias("numbers"))
+    text_of = F.to_json(F.struct(*[F.when(F.col("k") % 4 == i, F.col("own")).alias(c) for i, c in enumerate(_LIST_NAMES)], meta.alias("meta")))
+    parsed = rows.select(F.col("k").alias("report_no"), F.col("numbers"), F.from_json(text_of, report.REPORT).alias("r"))
+    out = report.pairs(parsed.select("report_no", "r.*")).join(parsed.select("report_no", "numbers"), "report_no")
+    return out.select(F.col("report_no").alias("report"), F.element_at("numbers", F.col("pair_no") + 1).alias("line"), r6("score").alias("score"), "level", "a_chunk_id", "b_chunk_id", F.col("a.text").alias("a_text"), F.col("b.text").alias("b_text"), F.size("a.spans").alias("a_spans"), F.size("b.spans").alias("b_spans"))
 
 
 @query("SELECT DISTINCT md5('m||'||text) AS key FROM documents WHERE md5('m||'||text) NOT IN (SELECT md5('m||'||text) FROM documents WHERE source='src0')")
