@@ -1,15 +1,18 @@
 """Operator 4, a dictionary-compressed WARC writer and its reader.
 
 Each task writes one archive: a skippable frame (magic 0x184D2A5D) with a Zstandard dictionary built from the
-archive's own records (the first ``SAMPLE_BYTES`` of them, a bounded sample), then a Zstandard frame per record. The first
+archive's own records, then a Zstandard frame per record. The dictionary is trained on the first ``SAMPLE_BYTES`` of records, or more, up to
+``HOLD_BYTES``, until there are ``SAMPLES``; if training finds too little in common, it is the last ``DICT_BYTES`` of those records as they stand. The first
 row with a payload of ``least`` bytes or more, by smallest page_id, is a ``response``; equal payloads after it are ``revisit``
 records, which name the response and keep only the HTTP headers. Shorter payloads are all responses.
 
-Archives are written to a folder that all executors share, under a temporary name, and moved into place when whole.
+Archives are written to a folder that all executors share. Each attempt of a task writes a file of its own; the list that ``write`` returns names those
+that counted, and the others are deleted.
 
 Nulls and empties: a null payload is empty; a null url is the empty target; a null page_id is archived as a response (it can't be referred to) and read back
 as null; rows that repeat a page_id with one payload: one is the response, the rest revisit it. An empty table writes
-no archive and gives no rows. Other columns aren't read."""
+no archive and gives no rows. Very long payloads are records like others. Ties: of rows that repeat a page_id and payload any may be the response; their rows
+read back are the same. Other columns aren't read."""
 
 from __future__ import annotations
 
@@ -19,18 +22,18 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .sstable import filesystem
 
 MAGIC = 0x184D2A5D
-SAMPLE_BYTES, DICT_BYTES, LEVEL = 2 << 20, 64 << 10, 3
+SAMPLE_BYTES, HOLD_BYTES, SAMPLES, DICT_BYTES, LEVEL = 2 << 20, 32 << 20, 8, 64 << 10, 3
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -85,13 +88,13 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def build_dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary from records; empty if there is too little to build one from."""
-    if len(samples) < 8 or sum(map(len, samples)) < 4096:
-        return b""
+    """A trained dictionary from records, or else their last bytes."""
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
+        if len(samples) >= SAMPLES:
+            return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        pass
+    return b"".join(samples[-64:])[-DICT_BYTES:]
 
 
 class Writer:
@@ -108,7 +111,7 @@ class Writer:
             return
         self.held.append(raw)
         self.size += len(raw)
-        if self.size >= SAMPLE_BYTES:
+        if self.size >= (SAMPLE_BYTES if len(self.held) >= SAMPLES else HOLD_BYTES):
             self._start()
 
     def _start(self) -> None:
@@ -152,48 +155,51 @@ def planned(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     narrow = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     keyed = narrow.withColumn("_d", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     # Partial sums first: a payload that a third of all pages have is one row of this.
-    low = keyed.where("_d is not null and page_id is not null").groupBy("_d").agg(F.min("page_id").alias("_m"), F.count("*").alias("_n"))
-    firsts = low.where("_n > 1").select(F.col("_d").alias("_k"), F.col("_m").alias("_first"))
-    firsts = common.written(firsts, "firsts")
-    met = keyed.join(firsts, F.col("_d") == F.col("_k"), "left")
+    low = keyed.where("_d is not null").groupBy("_d").agg(F.min("page_id").alias("_m"), F.count("*").alias("_n"))
+    firsts = common.written(low.where("_n > 1 and _m is not null").select("_d", F.col("_m").alias("_first"), "_n"), "firsts")
+    few = firsts.count() <= common.JOIN_AT_ONCE
+    cols = ["page_id", "url", "payload", "refers_to", "copy"]
+    if few:
+        met = keyed.join(F.broadcast(firsts), "_d", "left")
+    else:
+        alone = keyed.join(firsts.select("_d"), "_d", "left_anti")
+        met = common.hot_join(keyed, firsts, "_d", "_n").unionByName(alone.select("_d", "page_id", "url", "payload", F.lit(None).cast("long").alias("_first"), F.lit(None).cast("long").alias("_n")))
     refers = F.when(F.col("page_id") > F.col("_first"), F.col("_first"))
     # Rows that repeat the response's page_id and payload are few or none; only if there are some, they are numbered.
-    own = keyed.select("page_id", "_d").join(firsts, (F.col("_d") == F.col("_k")) & (F.col("page_id") == F.col("_first")))
-    again = common.written(own.groupBy("_d").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("_d").alias("_a")), "again")
-    cols = ["page_id", "url", "payload", "refers_to", "copy"]
+    is_first = F.coalesce(F.col("page_id") == F.col("_first"), F.lit(False))
+    slim = met.where(is_first).select("_d")
+    again = common.written(slim.groupBy("_d").agg(F.count("*").alias("_c")).where("_c > 1"), "again")
     if not again.limit(1).count():
         return met.select("page_id", "url", "payload", refers.alias("refers_to"), F.lit(0).alias("copy"))
-    marked = met.join(again, F.col("_d") == F.col("_a"), "left").withColumn("_is", F.coalesce(F.col("_a").isNotNull() & (F.col("page_id") == F.col("_first")), F.lit(False)))
-    numbered = marked.where("_is").withColumn("copy", F.row_number().over(Window.partitionBy("_d").orderBy("url")) - 1)
-    rest = marked.where(~F.col("_is")).select("page_id", "url", "payload", refers.alias("refers_to"), F.lit(0).alias("copy"))
-    return rest.unionByName(numbered.select("page_id", "url", "payload", F.when(F.col("copy") > 0, F.col("page_id")).alias("refers_to"), "copy")).select(*cols)
+    first = common.written(met.where(is_first).drop("_n").withColumn("_u", F.monotonically_increasing_id()), "repeats")
+    least_u = common.written(first.groupBy("_d").agg(F.min("_u").alias("_low"), F.count("*").alias("_c")), "least")
+    numbered = common.hot_join(first, least_u, "_d", "_c").withColumn("copy", F.when(F.col("_u") == F.col("_low"), F.lit(0)).otherwise(F.col("_u") + 1))
+    rest = met.where(~is_first).select("page_id", "url", "payload", refers.alias("refers_to"), F.lit(0).cast("long").alias("copy"))
+    return rest.unionByName(numbered.select("page_id", "url", "payload", F.when(F.col("copy") > 0, F.col("page_id")).alias("refers_to"), F.col("copy").cast("long").alias("copy"))).select(*cols)
 
 
 def write(pages: DataFrame, folder: str, **how) -> list[dict]:
     """Writes the archives; returns path and number of records of each."""
     common.small_batches(pages.sparkSession)
     plan = planned(pages, **how)
-    at, root = filesystem(folder)
+    at, root = common.filesystem(folder)
     at.create_dir(root, recursive=True)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = filesystem(folder)
-        name, out = f"{top}/pages-{TaskContext.get().partitionId():06d}.warc.zst", None
-        temp = f"{name}.{uuid.uuid4().hex}.part"
-        for batch in batches:
-            for part in common.slices(batch, "payload"):
-                if out is None:
-                    sink = store.open_output_stream(temp)
-                    out = Writer(sink)
-                for page_id, url, payload, refers_to, copy in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    out.add(record(page_id, url, payload.encode("utf-8", "surrogatepass"), refers_to, copy))
-        if out is not None:
+        common.begin()
+        rows = (r for batch in batches for part in common.slices(batch, "payload") for r in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        if (first := next(rows, None)) is None:
+            return
+        with common.attempt(folder, f"pages-{TaskContext.get().partitionId():06d}", ".warc.zst") as (path, sink):
+            out = Writer(sink)
+            for page_id, url, payload, refers_to, copy in chain([first], rows):
+                out.add(record(page_id, url, payload.encode("utf-8", "surrogatepass"), refers_to, copy))
             out.close()
-            sink.close()
-            store.move(temp, name)
-            yield pa.RecordBatch.from_pydict({"path": [name], "records": [out.records]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"path": [path], "records": [out.records]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
-    return [r.asDict() for r in plan.mapInArrow(put, "path string, records long").collect()]  # one per archive
+    archives = [r.asDict() for r in plan.mapInArrow(put, "path string, records long").collect()]  # one per archive
+    common.tidy(folder, [a["path"] for a in archives])
+    return archives
 
 
 SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -218,7 +224,7 @@ def read(spark: SparkSession, archives: list[dict]) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                store, where = filesystem(path)
+                store, where = common.filesystem(path)
                 rows = []
                 with store.open_input_stream(where, compression=None) as file:
                     for raw in read_archive(file):
