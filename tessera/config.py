@@ -172,3 +172,32 @@ def with_settings(cfg: Config, settings: dict) -> Config:
     may carry don't, and are only recorded."""
     live = {"bm25_topk", "simhash_topk", "topk_recall", "topk_rerank", "size_tokens", "overlap", "mode", "penalties"}
     return replace(cfg, raw=deep_update(cfg.raw, {"settings": settings}), **{k: v for k, v in settings.items() if k in live})
+
+
+def page(cfg: Config) -> dict:
+    """The settings as a page's form has them. Weights and thresholds are the form's own defaults, as they have no effect there."""
+    return {
+        "weights": {"w_cross": 0.55, "w_bi": 0.25, "w_lex": 0.10, "w_bm25": 0.10},
+        "thresholds": {"very_high": 0.82, "high": 0.72, "medium": 0.60},
+        "penalties": {"lex_boilerplate_lambda": cfg.penalties[0], "min_span_chars": cfg.min_span_chars, "small_span_chars": cfg.small_span_chars, "min_small_spans": cfg.min_small_spans},
+        "retrieval": {"bm25_topk": cfg.bm25_topk, "ann_topk_recall": cfg.topk_recall, "rerank_topk": cfg.topk_rerank, "simhash_topk": cfg.simhash_topk},
+        "chunking": {"size_tokens": cfg.size_tokens, "overlap": cfg.overlap},
+    }
+
+
+#: Where a form's retrieval settings stand among the keys of a file.
+_FORM = {"bm25_topk": ("bm25", "topk"), "ann_topk_recall": ("ann", "topk_recall"), "rerank_topk": ("ann", "topk_rerank"), "simhash_topk": ("simhash", "topk")}
+
+
+def with_page(cfg: Config, form: dict) -> Config:
+    """The settings with what a page's form overrides, read as a file with those keys would be; the dictionaries stay."""
+    over = {to: form[of] for of, to in (("penalties", "penalties"), ("weights", "ranking_weights"), ("thresholds", "decision_thresholds"), ("chunking", "chunking")) if of in form}
+    for name, value in (form.get("retrieval") or {}).items():
+        if name in _FORM:
+            section, key = _FORM[name]
+            over = deep_update(over, {section: {key: value}})
+    raw = deep_update(cfg.raw, over)
+    asked = from_dict({k: v for k, v in raw.items() if k not in ("dictionary_paths", "domain_boilerplate")})
+    if not cfg.raw and "mode" not in (form.get("chunking") or {}):
+        asked = replace(asked, mode=cfg.mode)
+    return replace(asked, raw=raw, stop_phrases=cfg.stop_phrases, boilerplate=cfg.boilerplate, abbreviations=cfg.abbreviations, synonyms=cfg.synonyms, section_headers=cfg.section_headers)
