@@ -2,11 +2,13 @@
 
 The tokenizer of ``word_bpe_49k.json`` drops white space and never joins across it, so the ids of a text are the
 ids of its white-space words one after another. Every id comes from the tokenizers library; the memo saves encoding
-a word again. Texts with characters on which Python and the tokenizer disagree about white space go whole.
+a word again. Texts with characters on which Python and the tokenizer disagree about white space go whole, and so does
+every text if the file's stages aren't those (``WORD_WISE``) that this holds for.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import string
 import sys
@@ -17,11 +19,33 @@ import numpy as np
 
 from . import common
 
-#: Words of one generation of the memo: about 25 MB, so 50 MB for both.
-MEMO_LIMIT = 100_000
+#: Words of one generation of the memo: about 60 MB, so 120 MB for both.
+MEMO_LIMIT = 300_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+#: The stages of a file whose texts may be cut at white space: what normalises, what cuts, and how the model ends words. Fixed values of the format.
+WORD_WISE = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+    "pre_tokenizer": [("Split", "Removed", True), ("ByteLevel", False, False)],
+    "model": ("BPE", None, "</w>"),
+}
+
+
+def stages(described: dict) -> dict:
+    """A tokenizer file's stages in the form of WORD_WISE."""
+    listed = lambda x, key: x.get(key, [x]) if x else []
+    cuts = listed(described["pre_tokenizer"], "pretokenizers")
+    model = described["model"]
+    return {
+        "normalizer": [x["type"] for x in listed(described["normalizer"], "normalizers")],
+        "pattern": next((x["pattern"].get("Regex") for x in cuts if x["type"] == "Split"), None),
+        "pre_tokenizer": [(x["type"], x["behavior"], x["invert"]) if x["type"] == "Split" else (x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in cuts],
+        "model": (model["type"], model.get("dropout"), model.get("end_of_word_suffix")),
+    }
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -49,8 +73,10 @@ class Encoder(dict):
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
         self.older: dict[str, bytes] = {}
         self.letters = _byte_letters()
-        # A word of letters is one pre-token, so the model alone gives its ids; held to the whole tokenizer in tests.
-        self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
+        self.word_wise = stages(json.loads(self.tokenizer.to_str())) == WORD_WISE
+        if self.word_wise:
+            # A word of letters is one pre-token, so the model alone gives its ids; held to the whole tokenizer in tests.
+            self.model, self.normal = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
 
     def _packed(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
@@ -87,7 +113,7 @@ class Encoder(dict):
         return value
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if _ODD.search(t) else b"".join(map(self.__getitem__, t.split())) for t in texts]
+        return [self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if not self.word_wise or _ODD.search(t) else b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
 _held: dict[str, Encoder] = {}

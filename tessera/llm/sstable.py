@@ -15,15 +15,16 @@ ascending order with nulls first. Equal keys are allowed and keep their order. `
 searches the sparse index and the block's restarts by halving.
 
 Nulls and empties: a null text is empty and has its end id; a null identifier is a key of its own kind, first of all;
-repeated rows are entries each; an empty table gives no shards and no rows; other columns aren't read."""
+repeated rows are entries each; an empty table gives no shards and no rows; other columns aren't read. Very long texts are
+entries like others, of blocks of their own. Ties: entries of one identifier go by the hash of their texts."""
 
 from __future__ import annotations
 
 import bisect
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -193,49 +194,33 @@ class Reader:
         return found
 
 
-def filesystem(uri: str):
-    """(file system, path) of a folder in the shared store; Spark's ``file:/x`` form is taken too."""
-    from pyarrow import fs
-
-    if ":" not in uri.split("/")[0]:
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Writes shards in ascending order of identifier and returns their manifest (a row per shard, in order). A task
-    writes a file of its own name and moves it into place when whole, so a task that runs again does no harm."""
+    """Writes shards in ascending order of identifier and returns their manifest (a row per shard, in order). Each attempt of a task writes a
+    file of its own, and the manifest names those that counted. Texts are dealt by ranges, not their ids, which are hardly fewer bytes."""
     common.small_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    at, root = filesystem(folder)
+    at, root = common.filesystem(folder)
     at.create_dir(root, recursive=True)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, count, first = encode.encoder(tokenizer), None, 0, None
-        store, top = filesystem(folder)
-        name = f"{top}/shard-{TaskContext.get().partitionId():06d}.sst"
-        temp = f"{name}.{uuid.uuid4().hex}.part"
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                if out is None:
-                    sink = store.open_output_stream(temp)
-                    out = Writer(sink, enc.kind.itemsize)
-                end = np.array([END_ID], enc.kind).tobytes()
+        enc = encode.encoder(tokenizer)
+        parts = (part for batch in batches for part in common.slices(batch, "text"))
+        if (first := next(parts, None)) is None:
+            return
+        end, part_id = np.array([END_ID], enc.kind).tobytes(), TaskContext.get().partitionId()
+        with common.attempt(folder, f"shard-{part_id:06d}", ".sst") as (path, sink):
+            out = Writer(sink, enc.kind.itemsize)
+            for part in chain([first], parts):
                 for doc, raw in zip(part.column("doc_id").to_pylist(), enc.ids(common.texts_of(part.column("text"))), strict=True):
                     out.add(key_of(doc), raw + end)
-        if out is not None:
             out.close()
-            sink.close()
-            store.move(temp, name)
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [name], "entries": [out.entries], "tokens": [out.tokens]}, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [part_id], "path": [path], "entries": [out.entries], "tokens": [out.tokens]}, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("entries", pa.int64()), ("tokens", pa.int64())]))
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # The hash of the text orders repeated identifiers and lets a range boundary fall among them.
     keyed = narrow.withColumn("_h", F.xxhash64("text"))
     dealt = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
     rows = dealt.mapInArrow(put, "part long, path string, entries long, tokens long").collect()  # one per shard
+    common.tidy(folder, [r["path"] for r in rows])
     return [r.asDict() for r in sorted(rows, key=lambda r: r["part"])]
 
 
@@ -247,7 +232,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                store, where = filesystem(path)
+                store, where = common.filesystem(path)
                 with store.open_input_file(where) as file:
                     rows: list[tuple] = []
                     for doc, ids in Reader(file).scan():
