@@ -8,9 +8,10 @@ import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-_roots: dict[str, SparkSession] = {}
+_roots: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
@@ -23,16 +24,17 @@ def root(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
-    _roots[path] = spark
+    _roots.add(path)
     return path
 
 
 @atexit.register
 def _remove() -> None:
-    for path, spark in _roots.items():
+    jvm = SparkContext._jvm
+    for path in _roots:
         with contextlib.suppress(Exception):  # the JVM may be gone
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
