@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,13 +74,14 @@ JOIN_AT_ONCE = 200_000
 HOT_SHARE, HOT_ROWS = 1000, 1000
 
 
-def hot_join(rows: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
+def hot_join(rows: DataFrame, small: DataFrame, key: str, count: str, wide: int = 1) -> DataFrame:
     """Inner join of ``rows`` with ``small`` on ``key``, where ``small`` has a row per key and says in ``count`` how many of the rows have it. Rows of
-    hot keys stay where they are; the others are shuffled, if the small side isn't broadcast whole. Both are read more than once, so they should be written tables."""
+    hot keys stay where they are; the others are shuffled, if the small side isn't broadcast whole. Both are read more than once, so they should be written tables.
+    wide: how many times a slim row's bytes a row of the small side has; so many times fewer are broadcast."""
     one = small.agg(F.sum(count), F.count("*")).first()
-    if one[1] <= JOIN_AT_ONCE:
+    if one[1] * wide <= JOIN_AT_ONCE:
         return rows.join(F.broadcast(small), key)
-    is_hot = (F.col(count) > HOT_ROWS) & (F.col(count) * HOT_SHARE > F.lit(one[0]))
+    is_hot = (F.col(count) > HOT_ROWS) & (F.col(count) * max(1, HOT_SHARE // wide) > F.lit(one[0]))
     hot, cold = small.where(is_hot), small.where(~is_hot)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")  # fewer than HOT_SHARE rows
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
@@ -92,8 +94,11 @@ def made() -> list[str]:
 
 def release(spark: SparkSession, paths: Iterable[str]) -> None:
     """Deletes scratch paths: call it once the results that read them have been written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), paths)
+
+
+def _delete(jvm, conf, paths: Iterable[str]) -> None:
+    for path in list(paths):
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
         if path in _made:
@@ -102,9 +107,10 @@ def release(spark: SparkSession, paths: Iterable[str]) -> None:
 
 @atexit.register
 def _release_all() -> None:
-    spark = SparkSession.getActiveSession()
+    """What is left goes when Python exits, whether the session was stopped or not."""
+    jvm = SparkContext._jvm
     with contextlib.suppress(Exception):  # the JVM may be gone
-        release(spark, made())
+        _delete(jvm, jvm.org.apache.hadoop.conf.Configuration(), made())
 
 
 def filesystem(uri: str):
@@ -124,7 +130,7 @@ def attempt(folder: str, name: str, suffix: str) -> Iterator[tuple]:
     counted. The file of an attempt that fails is deleted."""
     store, top = filesystem(folder)
     path = f"{top}/{name}-{uuid.uuid4().hex}{suffix}"
-    sink = store.open_output_stream(path)
+    sink = store.open_output_stream(path, compression=None)
     try:
         yield path, sink
         sink.close()

@@ -14,6 +14,7 @@ import string
 import sys
 import zlib
 from array import array
+from operator import itemgetter
 
 import numpy as np
 
@@ -22,6 +23,8 @@ from . import common
 #: Words of one generation of the memo: about 60 MB, so 120 MB for both.
 MEMO_LIMIT = 300_000
 _ODD = re.compile("[\x1c-\x1f]")
+#: Letters that are composed already and that every library lower-cases alike.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ſ]+")
 
 
 #: The stages of a file whose texts may be cut at white space: what normalises, what cuts, and how the model ends words. Fixed values of the format.
@@ -86,7 +89,7 @@ class Encoder(dict):
 
     def _new(self, word: str) -> bytes:
         if word.isalpha():
-            low = word.lower() if word.isascii() else self.normal(word)
+            low = word.lower() if word.isascii() or _LATIN.fullmatch(word) else self.normal(word)
             if low != word and low.isalpha():
                 return self[low]
             if low.isascii():
@@ -94,7 +97,7 @@ class Encoder(dict):
             if low.isalpha():
                 return self._packed([t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))])
         core = word.rstrip(string.punctuation)
-        if core != word and core.isalpha() and (core.isascii() or self.normal(core).isalpha()):  # letters, then one run of signs: two pre-tokens
+        if core != word and core.isalpha() and (core.isascii() or _LATIN.fullmatch(core) or self.normal(core).isalpha()):  # letters, then one run of signs: two pre-tokens
             return self[core] + self[word[len(core) :]]
         return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
@@ -112,8 +115,12 @@ class Encoder(dict):
         self[word] = value
         return value
 
+    def _of(self, words: list[str]) -> bytes:
+        """The ids of some words one after another."""
+        return b"".join(itemgetter(*words)(self) if 1 < len(words) <= 100_000 else map(self.__getitem__, words))
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if not self.word_wise or _ODD.search(t) else b"".join(map(self.__getitem__, t.split())) for t in texts]
+        return [self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if not self.word_wise or _ODD.search(t) else self._of(t.split()) for t in texts]
 
 
 _held: dict[str, Encoder] = {}

@@ -8,7 +8,7 @@
 
 Nulls and empties: a null text is empty and still has its end id. A null identifier is kept as null. Repeated rows are
 packed each for itself. An empty table gives no rows. Only the identifier and text columns are read, so other columns
-of any name do no harm. Very long texts are encoded whole and cut."""
+of any name do no harm. Very long texts are encoded whole and cut. Ties: pieces of one length go by identifier, start and checksum."""
 
 from __future__ import annotations
 
