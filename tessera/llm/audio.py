@@ -1,6 +1,6 @@
 """Operator 9, chroma fingerprints of audio columns.
 
-1. A recording (WAV, 16 bits) is cut into frames of about ``FRAME_S`` seconds every ``HOP_S``; a frame's spectrum is folded into
+1. A recording (WAV of 8, 16, 24 or 32 bits) is cut into frames of about ``FRAME_S`` seconds every ``HOP_S``; a frame's spectrum is folded into
    12 pitch classes, smoothed over five frames and scaled to length 1.
 2. Filters, differences of rectangle sums, are read off an integral image of (frames x pitch classes) at each frame.
    Each of 16 filters is quantised to two bits by the logarithm of its two sums; the bits are packed into a 32-bit integer (Gray code).
@@ -9,8 +9,8 @@
    offset has a share of bit errors of ``max_error`` or less; the offset with the least share aligns them. No pair and no offset is left out.
 
 Nulls and empties: a null, empty or undecodable recording has no integers and matches nothing; a recording shorter than a filter
-likewise. Null identifiers are kept. Repeated rows are one class. Ties between offsets go to the smaller distance, then the smaller offset. An empty table
-gives no rows. Other columns aren't read."""
+likewise. Null identifiers are kept. Repeated rows are one class. Ties between offsets go to the smaller distance, then the smaller offset. Very long recordings are read
+whole, some frames at a time. A class whose recordings all have null ids is named null. An empty table gives no rows. Other columns aren't read."""
 
 from __future__ import annotations
 
@@ -46,15 +46,20 @@ def filters() -> list[tuple[int, int, int, int]]:
 
 
 def decode(raw: bytes | None) -> tuple[np.ndarray, int]:
-    """Mono samples and their rate; none if it isn't 16-bit WAV."""
+    """Mono samples, scaled as 16 bits are, and their rate; none if it isn't such a WAV."""
     try:
         with wave.open(io.BytesIO(raw or b"")) as w:
-            if w.getsampwidth() != 2:
-                return np.empty(0, np.float32), 1
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32)
-            n = w.getnchannels()
-            return x[: len(x) // n * n].reshape(-1, n).mean(axis=1), w.getframerate()
-    except (EOFError, wave.Error):
+            width, n = w.getsampwidth(), w.getnchannels()
+            data = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
+            data = data[: len(data) // (width * n) * width * n].reshape(-1, width)
+            if width == 1:  # unsigned
+                x = (data[:, 0].astype(np.float32) - 128) * 256
+            else:
+                wide = np.zeros((len(data), 4), np.uint8)
+                wide[:, 4 - width :] = data
+                x = (wide.view("<i4")[:, 0] / 65536).astype(np.float32)
+            return x.reshape(-1, n).mean(axis=1), w.getframerate()
+    except (EOFError, wave.Error, ValueError):
         return np.empty(0, np.float32), 1
 
 
@@ -194,40 +199,39 @@ def compared(a: np.ndarray, b: np.ndarray, max_error: float) -> tuple[np.ndarray
 
 
 def search(media: DataFrame, id_col: str = "vec_id", audio_col: str = "audio", every: int = 50, max_error: float = MAX_ERROR) -> DataFrame:
-    """A row per recording: id, class_id (the smallest id with an equal fingerprint), n_integers, and, for queries (ids that
-    are divisible by ``every``), matches: the classes found, with their offset, bit errors and bits, the own class included."""
+    """Rows of two sorts. A row per recording: id, class_id (the smallest id with an equal fingerprint) and n_integers, with match_id, offset,
+    errors and bits null. And, of each class that holds a query (an id divisible by ``every``), a row per class found, its own included: the class's
+    smallest id as id and class_id, n_integers, the smallest id of the class found, and the alignment's offset, bit errors and bits. Copies aren't expanded into pairs."""
     spark = media.sparkSession
     common.small_batches(spark)
     known = common.written(fingerprints(media, id_col, audio_col), "fingerprints")
-    classes = known.where("fp_class is not null").groupBy("fp_class").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max((F.col("id") % every == 0).cast("int")).alias("asked"))
+    classes = known.where("fp_class is not null").groupBy("fp_class").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max((F.col("id") % every == 0).cast("int")).alias("asked"), F.count("*").alias("members"))
     classes = common.written(classes, "classes")
-    schema = pa.schema([("q", pa.binary()), ("match_id", pa.int64()), ("offset", pa.int32()), ("errors", pa.int64()), ("bits", pa.int64())])
-    shape = "q binary, match_id long, offset int, errors long, bits long"
+    schema = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("match_id", pa.int64()), ("offset", pa.int32()), ("errors", pa.int64()), ("bits", pa.int64())])
+    shape = "q long, n long, match_id long, offset int, errors long, bits long"
     # Work goes with the rows, not with their few bytes.
     dealt = classes.select("class_id", "fp").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
-    found = None
-    for block in blocks((bytes(r[0]), bytes(r[1])) for r in classes.where("asked = 1").select("fp_class", "fp").toLocalIterator()):
+    found = spark.createDataFrame([], shape)
+    for block in blocks((r[0], bytes(r[1])) for r in classes.where("asked = 1").select("class_id", "fp").toLocalIterator()):
         shared = spark.sparkContext.broadcast(block)  # bounded by BLOCK
 
         def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             common.begin()
-            names = [name for name, _ in shared.value]
+            names, sizes = [name for name, _ in shared.value], [len(fp) // 4 for _, fp in shared.value]
             asked = by_length([fp for _, fp in shared.value])
             for held in blocks(row for batch in batches for row in zip(batch.column("class_id").to_pylist(), batch.column("fp").to_pylist(), strict=True)):
                 for of_c, b in by_length([fp for _, fp in held]):
                     for of_q, a in asked:
                         q, c, offset, errors, bits = compared(a, b, max_error)
                         if len(q):
-                            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in of_q[q]], pa.binary()), pa.array([held[k][0] for k in of_c[c]], pa.int64()), pa.array(offset, pa.int64()).cast(pa.int32()), pa.array(errors), pa.array(bits)], schema=schema)
+                            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in of_q[q]], pa.int64()), pa.array([sizes[k] for k in of_q[q]], pa.int64()), pa.array([held[k][0] for k in of_c[c]], pa.int64()), pa.array(offset, pa.int64()).cast(pa.int32()), pa.array(errors), pa.array(bits)], schema=schema)
 
-        own = dealt.mapInArrow(judge, shape)
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        found = spark.createDataFrame([], shape)
-    listed = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("match_id", "offset", "errors", "bits"))).alias("matches"))
-    named = classes.select("fp_class", "class_id").join(listed, F.col("fp_class") == F.col("q"), "left").drop("q")
-    out = known.select("id", "fp_class", (F.length("fp") / 4).cast("long").alias("n_integers")).join(named, "fp_class", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", "n_integers", F.when(F.col("id") % every == 0, F.coalesce("matches", F.array().cast("array<struct<match_id:bigint,offset:int,errors:bigint,bits:bigint>>"))).alias("matches"))
+        found = found.unionByName(dealt.mapInArrow(judge, shape))
+    size = (F.length("fp") / 4).cast("long").alias("n_integers")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("match_id", "long"), ("offset", "int"), ("errors", "long"), ("bits", "long"))]
+    members = common.hot_join(known.where("fp_class is not null"), classes.select("fp_class", "class_id", "members"), "fp_class", "members")
+    rows = members.select(F.col("id").alias(id_col), "class_id", size, *none).unionByName(known.where("fp_class is null").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("class_id"), size, *none))
+    return rows.unionByName(found.select(F.col("q").alias(id_col), F.col("q").alias("class_id"), F.col("n").alias("n_integers"), "match_id", "offset", "errors", "bits"))
 
 
 RATE = 4000
@@ -255,6 +259,7 @@ def rendered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     schema = pa.schema([(id_col, pa.int64()), ("audio", pa.binary())])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin()
         for batch in batches:
             for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
                 audio = []
