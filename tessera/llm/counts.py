@@ -7,7 +7,8 @@ the piece list of a public tokenizer, a piece's log probability -log(rank + 2);
 piece per UTF-8 byte at a score below all others. The trie lives in the worker and is emptied at ``NODE_LIMIT`` nodes.
 
 Nulls and empties: a null or blank text has no pre-tokens and no tokens; null identifiers are kept; repeated rows give a
-row each; an empty table gives no rows; other columns aren't read. Very long words are nodes like others."""
+row each; an empty table gives no rows; other columns aren't read. Very long texts are read whole, and very long words are nodes like others. Ties between
+segmentations go to fewer pieces."""
 
 from __future__ import annotations
 

@@ -11,7 +11,8 @@ Licence notices are templates of words. For each file the method
 The base phrases are templates as well, with the whole phrase as their key phrase, so each place where a phrase stands is found.
 
 Nulls and empties: a null text is empty: no words, no labels, null first_word and last_word, score 0. Null identifiers are kept. Repeated rows
-give a row each. An empty table gives no rows. Columns other than identifier and text aren't read. Very long texts count whole."""
+give a row each. An empty table gives no rows. Columns other than identifier and text aren't read. Very long texts count whole. Ties: of words
+with one document frequency the first in order is the rarer; labels are sorted."""
 
 from __future__ import annotations
 
@@ -32,6 +33,17 @@ NOTICES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("cc-by", "this work is licensed under a creative commons attribution license", "creative commons attribution"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty", "without any express or implied warranty"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution share alike license", "creative commons attribution share alike"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial license", "creative commons attribution noncommercial"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("boost-1.0", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
+    ("artistic-2.0", "this program is distributed under the terms of the artistic license 2 0", "artistic license 2 0"),
+    ("wtfpl", "do what the fuck you want to public license", "what the fuck you want to public license"),
+    ("proprietary", "all rights reserved unauthorized copying of this file via any medium is strictly prohibited", "unauthorized copying of this file"),
 )
 #: A notice is found if this share of its words stands at its places.
 AGREE = 0.7
