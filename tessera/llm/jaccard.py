@@ -24,7 +24,8 @@ and count as links of each other. An empty table gives no rows. Columns other th
 their blocks have fewer nodes. Ties: a class is named, and represented, by its smallest identifier, then by the smallest hash of the text.
 
 Hot keys (a band, the centre of a star, a component, a class or a text that more than one of ``common.HOT_SHARE`` rows have) aren't shuffled to one task:
-``common.hot_join`` leaves their rows where they are. A component of n nodes ships each node's set once per block, n / ``BLOCK`` times."""
+``common.hot_join`` leaves their rows where they are. In a component of n nodes each node is sent once per block, n / ``BLOCK`` times, as the
+shingles in which it differs from the component's root: in a group of near copies a tenth of its set or less."""
 
 from __future__ import annotations
 
@@ -46,6 +47,8 @@ BANDS, ROWS = 30, 5
 STEP, TOLERANCE = 30, 1e-6
 #: Nodes of a block at most; in the exact comparison a block has BLOCK * BLOCK_SHINGLES shingles at most too, or one node's.
 BLOCK, BLOCK_SHINGLES = 512, 2048
+#: A root with more shingles isn't joined to its component's members; they are sent whole.
+BASE_SHINGLES = 65_536
 #: Documents are broadcast, as a number or two each, to be picked out or dropped, if they are so many at most; more are joined by a shuffle.
 GONE_AT_ONCE = 1_000_000
 #: A name that no column of a table has.
@@ -289,19 +292,43 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float, block:
     return out.repartition("_set").sortWithinPartitions("_set").mapInArrow(compare, "u binary, v binary")
 
 
-def exact_links(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """members: root, blocks (of the component), node, copies, text. Returns node, links (documents of other
-    nodes that it is linked to) and to (a linked node, or itself), several rows a node where a component has several blocks."""
-    shape = pa.schema([("root", pa.binary()), ("blocks", pa.int64()), ("node", pa.binary()), ("copies", pa.int64()), ("sh", pa.binary())])
+def exact_links(members: DataFrame, threshold: float, tolerance: float, several: bool) -> DataFrame:
+    """members: root, blocks (of the component), short (whether to send differences from the root), node, copies, text. Returns node, links (documents of other
+    nodes that it is linked to) and to (a linked node, or itself), several rows a node where a component has several blocks. several: whether any is to be sent short."""
+    shape = pa.schema([("root", pa.binary()), ("blocks", pa.int64()), ("short", pa.bool_()), ("node", pa.binary()), ("copies", pa.int64()), ("sh", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin(common.HASHES)
         for batch in batches:
             for part in common.slices(batch, "text"):
                 sh = [shingles(t).tobytes() for t in common.texts_of(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in shape.names[:4]), pa.array(sh, pa.binary())], schema=shape)
-
-    sets = members.mapInArrow(cut, "root binary, blocks long, node binary, copies long, sh binary")
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in shape.names[:5]), pa.array(sh, pa.binary())], schema=shape)
+
+    sets = members.mapInArrow(cut, "root binary, blocks long, short boolean, node binary, copies long, sh binary")
+    if several:
+        # Members of a component of several blocks are sent once per block, so they go as what tells them from the component's root, if that is shorter.
+        sets = common.written(sets, "sets")
+        large = sets.where("short")
+        roots = common.written(large.where("node = root").select("root", F.col("sh").alias("base")).join(large.groupBy("root").agg(F.count("*").alias("members")), "root"), "roots")
+        told = pa.schema([*shape, ("delta", pa.bool_())])
+
+        def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.begin()
+            for batch in batches:
+                for part in common.slices(batch, "sh"):
+                    own = []
+                    for sh, base in zip(part.column("sh").to_pylist(), part.column("base").to_pylist(), strict=True):
+                        d = np.setxor1d(np.frombuffer(sh, np.uint64), np.frombuffer(base, np.uint64), assume_unique=True).tobytes()
+                        own.append((d, True) if len(d) < len(sh) else (sh, False))
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in shape.names[:5]), pa.array([x for x, _ in own], pa.binary()), pa.array([x for _, x in own], pa.bool_())], schema=told)
+
+        short = common.hot_join(large, roots, "root", "members", wide=50).mapInArrow(shorten, "root binary, blocks long, short boolean, node binary, copies long, sh binary, delta boolean")
+        pairs = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+        # The root itself goes to every two blocks that meet, before their members.
+        bases = large.where("node = root").withColumn("_p", pairs).withColumn("_q", F.explode(F.sequence(F.col("_p"), F.col("blocks").cast("int") - 1))).withColumn("_own", F.lit(-1)).withColumn("delta", F.lit(False))
+        dealt = _blocks(short, F.col("blocks")).unionByName(bases).unionByName(_blocks(sets.where("not short").withColumn("delta", F.lit(False)), F.col("blocks")))
+    else:
+        dealt = _blocks(sets.withColumn("delta", F.lit(False)), F.col("blocks"))
     schema = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("to", pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,6 +336,10 @@ def exact_links(members: DataFrame, threshold: float, tolerance: float) -> DataF
         rows: list[tuple] = []
         for g in _groups(batches, ["root", "_p", "_q"], "sh"):
             own = [np.frombuffer(x, np.uint64) for x in g["sh"]]
+            if g["_own"][0] == -1:
+                base = own[0]
+                own = [np.setxor1d(base, x, assume_unique=True) if d else x for x, d in zip(own[1:], g["delta"][1:], strict=True)]
+                g = {name: col[1:] for name, col in g.items()}
             a, b, within = _sides(g["_own"], g["_p"][0], g["_q"][0])
             copies = np.array(g["copies"], np.int64)
             links = np.zeros(len(own), np.int64)
@@ -330,8 +361,7 @@ def exact_links(members: DataFrame, threshold: float, tolerance: float) -> DataF
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    dealt = _blocks(sets, F.col("blocks"))
-    return dealt.repartition("root", "_p", "_q").sortWithinPartitions("root", "_p", "_q", "node").mapInArrow(compare, "node binary, links long, to binary")
+    return dealt.select("root", "_p", "_q", "_own", "node", "copies", "sh", "delta").repartition("root", "_p", "_q").sortWithinPartitions("root", "_p", "_q", "_own", "node").mapInArrow(compare, "node binary, links long, to binary")
 
 
 def join(docs: DataFrame, **how) -> DataFrame:
@@ -351,15 +381,16 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
     same = there.groupBy("k").agg(F.count("*").alias("same"))
     placed = common.written(comps.join(nodes.select("node", "copies", "one", "n"), "node").withColumn("k", F.col("one.k")).join(same, "k"), "placed")
     blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / block), F.ceil(F.sum("n") / (block * BLOCK_SHINGLES)))
-    sizes = common.written(placed.groupBy("root").agg(F.count("*").alias("size"), blocks.cast("long").alias("blocks")), "sizes")
+    sizes = placed.groupBy("root").agg(F.count("*").alias("size"), blocks.cast("long").alias("blocks"), F.max(F.when(F.col("node") == F.col("root"), F.col("n"))).alias("root_n"))
+    sizes = common.written(sizes.select("root", "size", "blocks", ((F.col("blocks") > 1) & (F.col("root_n") <= BASE_SHINGLES)).alias("short")), "sizes")
     placed = common.written(common.hot_join(placed.drop("n"), sizes, "root", "size"), "placed")
     # The text of each node: that of one of its rows, known by identifier and hash (identifiers may repeat or be null).
     texts = docs.withColumn("h", F.xxhash64("text")).withColumn("k", F.xxhash64("doc_id", "h"))
     if placed.count() <= GONE_AT_ONCE:
         texts = texts.join(F.broadcast(placed.select("k")), "k", "left_semi")  # eight bytes each
     found = common.hot_join(texts, placed, "k", "same").where(F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("h") == F.col("one.h")))
-    members = found.select("root", "blocks", "node", "copies", "text").dropDuplicates(["node"])
-    found = common.written(exact_links(members, threshold, tolerance), "links")
+    members = found.select("root", "blocks", "short", "node", "copies", "text").dropDuplicates(["node"])
+    found = common.written(exact_links(members, threshold, tolerance, bool(sizes.where("short").limit(1).count())), "links")
     # Components of one block have their classes already; those of several are joined by their forests.
     labels = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
