@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import pytest
 
@@ -40,6 +41,37 @@ def test_stages(spark, tmp_path):
         docs, before = done, now
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, h long, node string, label string, kind int, term string, _keep boolean, length long, __tessera_site__ string"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, None, 1, "n", "l", 2, "t", True, 3, "s") for i, t in rows], ODD)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_tables(spark, k):
+    name, stage = p.STAGES[k]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    same = "one and the same text of some words that stands here again and again"
+    rows = [(None, None), (None, ""), (1, " \n"), (1, same), (1, same), (2, same), (None, same), (3, "Mail a.b@c.example.com, now."), (3, f"so {item} it is"), (4, "y" * 100_000), (4, "plain words of no import")]
+    got = stage(spark, odd(spark, rows), SF)
+    if k == 4:
+        assert Counter(r.doc_id for r in got.where("start = 0").collect()) == Counter(i for i, _ in rows)
+        assert stage(spark, odd(spark, []), SF).count() == 0
+        return
+    assert got.columns == list(p.COLUMNS)
+    found = Counter((r.doc_id, r.text) for r in got.collect())
+    if name == "n-gram Jaccard join":
+        assert found == Counter([x for x in rows if x[1] != same]) + Counter([(1, same)])
+    if name == "benchmark decontamination":
+        assert found == Counter([x for x in rows if item not in (x[1] or "")])
+    if name == "PII":
+        assert found == Counter([x for x in rows if "@" not in (x[1] or "")]) + Counter([(3, "Mail [EMAIL], now.")])
+    if name == "quality classifier":
+        assert not found - Counter(rows)
+    assert stage(spark, odd(spark, []), SF).count() == 0
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as e
 
