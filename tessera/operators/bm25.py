@@ -27,7 +27,8 @@ def statistics(corpus: DataFrame, text: Column, scope: tuple[str, ...] = ()) ->
     """(term, df, idf, n, avgdl), written. A negative idf becomes EPSILON times the mean of all terms' raw idf."""
     split = corpus.select(*scope, tokens(text).alias("_t"))
     # The null term of each item stands for the item itself, so that one pass has both the terms and the sizes.
-    said = split.select(*scope, F.size("_t").cast("long").alias("_n"), F.explode(F.array_append(F.array_distinct("_t"), F.lit(None).cast("string"))).alias("term"))
+    sized = split.select(*scope, F.size("_t").cast("long").alias("_n"), F.array_append(F.array_distinct("_t"), F.lit(None).cast("string")).alias("_t"))
+    said = sized.select(*scope, "_n", F.explode("_t").alias("term"))
     counts = written(said.groupBy(*scope, "term").agg(F.count("*").alias("df"), F.sum("_n").alias("_n")), "terms")
     size = counts.where("term IS NULL").select(*scope, F.col("df").alias("n"), (F.col("_n") / F.col("df")).alias("avgdl"))  # a row per scope
     met = lambda a, b: a.join(b, list(scope)) if scope else a.crossJoin(F.broadcast(b))  # noqa: E731  one row, without scopes
@@ -43,8 +44,15 @@ def scores(queries: DataFrame, corpus: DataFrame, query_key: str, key: str, quer
     few = asked.count() <= ASKED_AT_ONCE
     known = asked.select(*scope, "term").distinct()
     split = corpus.select(*scope, key, tokens(text).alias("_t"))
-    said = split.select(*scope, key, F.size("_t").cast("long").alias("dl"), F.size(F.array_distinct("_t")).alias("terms"), F.explode("_t").alias("term"))
+    # The sizes are columns before the terms are unrolled: beside the generator they would be computed for every term anew.
+    sized = split.select(*scope, key, F.size("_t").cast("long").alias("dl"), F.size(F.array_distinct("_t")).alias("terms"), "_t")
+    said = sized.select(*scope, key, "dl", "terms", F.explode("_t").alias("term"))
     said = said.join(F.broadcast(known) if few else known, [*scope, "term"], "left_semi")
+    if few:
+        # Dealt by item once: counting terms, meeting the queries and summing up then need no other shuffle. The work is in the pairs, not in these few bytes, so
+        # the number of partitions is given.
+        spark = corpus.sparkSession
+        said = said.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *scope, key)
     post = said.groupBy(*scope, key, "dl", "terms", "term").agg(F.count("*").alias("tf"))
     met = post.join(F.broadcast(asked) if few else asked, [*scope, "term"])
     weight = F.col("qtf") * (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))

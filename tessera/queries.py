@@ -11,7 +11,7 @@ from .functions import models, scores, spans, text
 from .functions.align import blocks, tiles
 from .operators import bm25, candidates, grams, segment, simhash, summary, vectors
 from .sources import report
-from .store import written
+from .store import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -120,7 +120,7 @@ def _with(last: str, *names: str) -> str:
 
 
 def normalized(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    return table(spark, sf, name).select(key, text.normalize_whitespace(F.lower("text")).alias("t"))
+    return spread(table(spark, sf, name).select(key, "text")).select(key, text.normalize_whitespace(F.lower("text")).alias("t"))
 
 
 @query(f"SELECT doc_id, md5(regexp_replace(lower(translate(text,{_ZW},'     ')),'\\p{{Nd}}','0','g')) AS h FROM documents")

@@ -43,3 +43,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables below so many bytes may have fewer row groups than there are cores.
+SMALL_TABLE = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small table to all cores before dear work, as its few row groups would leave most of them idle. A larger table is read as
+    it lies: no shuffle."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL_TABLE:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
