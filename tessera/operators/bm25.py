@@ -33,7 +33,8 @@ def statistics(corpus: DataFrame, text: Column, scope: tuple[str, ...] = ()) ->
     size = counts.where("term IS NULL").select(*scope, F.col("df").alias("n"), (F.col("_n") / F.col("df")).alias("avgdl"))  # a row per scope
     met = lambda a, b: a.join(b, list(scope)) if scope else a.crossJoin(F.broadcast(b))  # noqa: E731  one row, without scopes
     raw = met(counts.where("term IS NOT NULL").drop("_n"), size).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy(*scope).agg(F.avg("raw").alias("mean"))
+    # In decimals, so that the order of the terms doesn't show in the last digits.
+    mean = raw.groupBy(*scope).agg(F.avg(F.col("raw").cast("decimal(30,18)")).cast("double").alias("mean"))
     return written(met(raw, mean).select(*scope, "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "n", "avgdl"), "statistics")
 
 
